@@ -1,21 +1,36 @@
-"""Splitting hot keys along time.
+"""Three densities of keys, told apart by one count of the key columns.
 
-A key with more rows than ``hot_rows`` is cut into segments at its own time quantiles, so a
-window never has to hold such a key in one task. Each segment starts from the totals of the
-earlier ones. Cold keys stay whole and pay nothing but one count of the key column.
+Light keys (up to ``light_rows`` rows) use ordinary sliding frames. Busy keys use running
+totals of arrivals and departures, which stay linear however long a window gets. A key with
+more rows than ``hot_rows`` is also cut into segments at its own time quantiles, so that no
+window has to hold it in one task; each segment starts from the totals of the earlier ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskspark.session import cut_lineage
 
+LIGHT_ROWS = 2_000
 HOT_ROWS = 5_000_000
 CUTS = 1024
 BROADCAST_HOT_KEYS = 5_000
+BROADCAST_BUSY_KEYS = 500_000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Row counts at which a key stops being light, and from which it is hot."""
+
+    light: int = LIGHT_ROWS
+    hot: int = HOT_ROWS
+
+
+DEFAULT = Limits()
 
 
 @dataclass
@@ -29,7 +44,7 @@ class HotKeys:
         if self.table is None:
             return df.withColumn("_seg", F.lit(-1))
         hot = self.table.withColumnRenamed(self.key, "_hot_key")
-        out = df.join(hot, F.col(self.key) == F.col("_hot_key"), "left")
+        out = df.join(hot, F.col(self.key).cast("string") == F.col("_hot_key"), "left")
         seg = F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(_bisect("_cuts", us))
         return out.withColumn("_seg", seg).drop("_hot_key", "_cuts")
 
@@ -42,28 +57,51 @@ def _bisect(cuts: str, us: str) -> Column:
     )
 
 
+def census(df: DataFrame, keys: dict[str, Column], whole: dict[str, Column] | None = None,
+           limits: Limits = DEFAULT) -> DataFrame:
+    """Row counts of several key columns in one scan: ``(_kind, _key, _n)``.
+
+    ``keys`` keep only the values that are not light; ``whole`` lists
+    low-cardinality columns whose counts are all kept. The result is materialised.
+    """
+    wanted = {**keys, **(whole or {})}
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), c.cast("string").alias("v"))
+                      for k, c in wanted.items()])
+    counted = (
+        df.select(F.explode(pairs).alias("_p"))
+        .groupBy(F.col("_p.k").alias("_kind"), F.col("_p.v").alias("_key"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    kept = (F.col("_n") > limits.light) & F.col("_key").isNotNull()
+    if whole:
+        kept = kept | F.col("_kind").isin(*whole)
+    return cut_lineage(counted.where(kept))
+
+
 def find_hot(df: DataFrame, key: str, points: DataFrame, at: str = "at",
-             hot_rows: int = HOT_ROWS) -> HotKeys:
-    """One map-side-combined count of the key column; cuts are only computed for hot keys.
+             limits: Limits = DEFAULT, counted: DataFrame | None = None) -> HotKeys:
+    """The hot values of ``key`` and their time cuts, which are only computed for them.
 
     ``points`` holds what the window will read (arrivals and departures); the cuts follow its
-    time distribution. There are at most rows / hot_rows hot keys, and their number is
+    time distribution. ``counted`` is a census taken earlier. The number of hot keys is
     measured before any broadcast.
     """
-    narrow = points.select(F.col(key), F.col(at).alias("_us"))
-    counted = cut_lineage(
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows))
+    if counted is None:
+        counted = census(df, {key: F.col(key)}, limits=limits)
+    counted = counted.where((F.col("_kind") == key) & (F.col("_n") > limits.hot)).select(
+        F.col("_key").alias(key), "_n")
     n_hot = counted.count()
     if n_hot == 0:
         return HotKeys(key, None)
     side = F.broadcast(counted) if n_hot <= BROADCAST_HOT_KEYS else counted
+    narrow = points.select(F.col(key).cast("string").alias(key), F.col(at).alias("_us"))
     probs = [i / CUTS for i in range(1, CUTS)]
     cuts = (
         narrow.join(side, key)
         .groupBy(key)
         .agg(F.percentile_approx("_us", probs, 20 * CUTS).alias("_q"), F.max("_n").alias("_n"))
         # a key just above the limit needs few segments: keep every stride-th quantile
-        .withColumn("_stride", F.greatest(F.lit(1), F.floor(F.lit(CUTS * hot_rows) / F.col("_n"))))
+        .withColumn("_stride", F.greatest(F.lit(1), F.floor(F.lit(CUTS * limits.hot) / F.col("_n"))))
         .select(key, F.expr("array_sort(array_distinct(filter(_q, (q, i) -> i % _stride = 0)))")
                 .alias("_cuts"))
     )
@@ -71,6 +109,22 @@ def find_hot(df: DataFrame, key: str, points: DataFrame, at: str = "at",
     return HotKeys(key, F.broadcast(cuts) if n_hot <= BROADCAST_HOT_KEYS else cuts)
 
 
+def by_density(df: DataFrame, key: str, counted: DataFrame,
+               light: Callable[[DataFrame], DataFrame],
+               busy: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Send light and busy keys to their own plan; when busy keys are many, all rows take the
+    busy plan, which is right for any key."""
+    names = counted.where(F.col("_kind") == key).select(F.col("_key").alias(key))
+    n_busy = names.count()
+    if n_busy == 0:
+        return light(df)
+    if n_busy > BROADCAST_BUSY_KEYS:
+        return busy(df)
+    side = F.broadcast(names)
+    return light(df.join(side, key, "left_anti")).unionByName(
+        busy(df.join(side, key, "left_semi")))
+
+
 def before(
     df: DataFrame,
     keys: list[str],

@@ -1,17 +1,18 @@
-"""Point-in-time windows by sweeping arrivals and departures.
+"""Point-in-time windows.
 
-Every row arrives at its own time and leaves a window of length N at time + N. The value of
-the window ``[t - N, t)`` is then the running total of arrivals minus departures before t:
-one linear pass for any number of horizons, however long the history is.
+Light keys use sliding RANGE frames. For busy keys every row arrives at its own time and
+leaves a window of length N at time + N; the value of the window ``[t - N, t)`` is then the
+running total of arrivals minus departures before t: one linear pass for any number of
+horizons, however long the history is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from riskspark.constants import DAY, SECOND
 from riskspark.functions import scalar as S
-from riskspark.operators.hotkeys import HOT_ROWS, HotKeys, before, find_hot
+from riskspark.operators.hotkeys import DEFAULT, Limits, before, by_density, census, find_hot
 from riskspark.session import broadcast_if_small
 
 MONTH = 30 * DAY
@@ -55,53 +56,118 @@ def _keyed(tx: DataFrame) -> DataFrame:
     })
 
 
-def velocity(tx: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+SHORT = {h: n for h, n in HORIZONS.items() if h != "30d"}
+SUMMED = ("5m", "15m", "1h")
+
+
+def _slide(keys: list[str], n: int) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy("us").rangeBetween(-n, -1)
+
+
+def velocity(tx: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Prior counts in 1/5/15/60 minutes and prior amounts in 5/15/60 minutes."""
-    horizons = {h: n for h, n in HORIZONS.items() if h != "30d"}
+    counted = census(tx, {"customer_id": F.col("customer_id")}, limits=limits)
     base = tx.withColumn("_cents", (F.col("amount") * 100).cast("bigint"))
-    payload = [c for c in base.columns if c not in ("customer_id", "_cents")]
-    points = sweep_points(base, horizons, payload)
-    hot = find_hot(tx, "customer_id", points, hot_rows=hot_rows)
-    points = hot.segmented(points, "at")
-    totals = {f"tx_count_{h}": inside(h) for h in horizons}
-    totals |= {f"_cents_{h}": inside(h, F.col("_cents")) for h in ("5m", "15m", "1h")}
-    out = arrivals(before(points, ["customer_id"], totals, {}, hot, us="at"))
+
+    def busy(df: DataFrame) -> DataFrame:
+        payload = [c for c in df.columns if c not in ("customer_id", "_cents")]
+        points = sweep_points(df, SHORT, payload)
+        hot = find_hot(df, "customer_id", points, limits=limits, counted=counted)
+        totals = {f"tx_count_{h}": inside(h) for h in SHORT}
+        totals |= {f"_cents_{h}": inside(h, F.col("_cents")) for h in SUMMED}
+        return arrivals(before(hot.segmented(points, "at"), ["customer_id"], totals, {}, hot, us="at"))
+
+    out = by_density(base, "customer_id", counted, lambda df: df.withColumns(_sliding("customer_id")), busy)
     return _money(out).drop("_cents")
 
 
+def _sliding(scope: str) -> dict[str, Column]:
+    out = {f"tx_count_{h}": F.count(F.lit(1)).over(_slide([scope], n)) for h, n in SHORT.items()}
+    return out | {
+        f"_cents_{h}": F.coalesce(F.sum("_cents").over(_slide([scope], SHORT[h])), F.lit(0))
+        for h in SUMMED}
+
+
 def _money(df: DataFrame) -> DataFrame:
-    for h in ("5m", "15m", "1h"):
+    for h in SUMMED:
         df = df.withColumn(f"amount_sum_{h}", F.col(f"_cents_{h}") / F.lit(100.0)).drop(f"_cents_{h}")
     return df
 
 
-def history_windows(tx: DataFrame, hot_rows: int = HOT_ROWS, scope: str = "customer_id") -> DataFrame:
+def take_census(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "customer_id") -> DataFrame:
+    """Busy customers, busy devices and all category counts in one scan."""
+    lane = _lane(F.trim(F.coalesce("device_id", F.lit(""))), scope)
+    return census(tx, {scope: F.col(scope), "_lane": lane},
+                  {"category": F.coalesce("category", F.lit("None"))}, limits)
+
+
+def _lane(device: Column, scope: str) -> Column:
+    """Grouping key of a known device; null when there is no device."""
+    lane = F.when(S.known_device(device), device)
+    return lane if scope == "customer_id" else F.concat(F.col("split"), F.lit("\u0001"), lane)
+
+
+def _squares() -> Column:
+    return F.col("_cents").cast("decimal(12,0)") * F.col("_cents").cast("decimal(12,0)")
+
+
+def _event() -> Column:
+    return F.struct(F.col("us").alias("us"), F.col("transaction_id").alias("id"),
+                    F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+
+
+def history_windows(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "customer_id",
+                    counted: DataFrame | None = None) -> DataFrame:
     """Every customer-keyed window in one exchange: velocity, 30-day behaviour, category
     share, known devices and the previous event.
 
     Adds raw moments (``_n``, ``_sum``, ``_squares``, ``_hours``, ``_same_cat``, ``_devices``,
-    ``_same_dev``, ``_last``, ``_last_dev``) and the velocity features.
+    ``_same_dev``, ``_last``, ``_last_dev``, ``_first``) and the velocity features.
     """
-    base = _keyed(tx)
+    if counted is None:
+        counted = take_census(tx, limits, scope)
+    out = by_density(_keyed(tx), scope, counted, lambda df: _history_light(df, scope),
+                     lambda df: _history_busy(df, scope, limits, counted))
+    for name in ("_last", "_last_dev"):
+        recent = F.col(f"{name}.us") >= F.col("us") - F.lit(MONTH)
+        out = out.withColumn(name, F.when(recent, F.col(name)))
+    return _money(out)
+
+
+def _history_light(df: DataFrame, scope: str) -> DataFrame:
+    month = _slide([scope], MONTH)
+    past = lambda *keys: Window.partitionBy(*keys).orderBy("us").rangeBetween(
+        Window.unboundedPreceding, -1)
+    known = S.known_device(F.col("_dev")).cast("int")
+    total = lambda c: F.coalesce(F.sum(c).over(month), F.lit(0))
+    tie = Window.partitionBy(scope, "_dev", "us").orderBy("transaction_id")
+    df = df.withColumn("_known", known).withColumns(_sliding(scope) | {
+        "_n": F.count(F.lit(1)).over(month), "_sum": total("_cents"), "_squares": total(_squares()),
+        "_hours": total("_hour"), "_devices": total("_known"),
+        "_last": F.max(_event()).over(past(scope)),
+    }).drop("_known")
+    df = df.withColumn("_same_cat", F.count(F.lit(1)).over(_slide([scope, "_cat"], MONTH)))
+    df = df.withColumn("_first", F.row_number().over(tie) == 1)
+    return df.withColumns({
+        "_same_dev": F.count(F.lit(1)).over(_slide([scope, "_dev"], MONTH)),
+        "_last_dev": F.max(_event()).over(past(scope, "_dev")),
+    })
+
+
+def _history_busy(base: DataFrame, scope: str, limits: Limits, counted: DataFrame) -> DataFrame:
     group = ["_cat", "_dev", "_cents", "_hour", scope]
-    payload = [c for c in base.columns if c not in group]
-    points = sweep_points(base, HORIZONS, payload)
-    hot = find_hot(tx, scope, points, hot_rows=hot_rows)
+    points = sweep_points(base, HORIZONS, [c for c in base.columns if c not in group])
+    hot = find_hot(base, scope, points, limits=limits, counted=counted)
     points = hot.segmented(points, "at")
-    known = S.known_device(F.col("_dev"))
     cents = F.col("_cents")
-    totals = {f"tx_count_{h}": inside(h) for h in HORIZONS if h != "30d"}
-    totals |= {f"_cents_{h}": inside(h, cents) for h in ("5m", "15m", "1h")}
+    totals = {f"tx_count_{h}": inside(h) for h in SHORT}
+    totals |= {f"_cents_{h}": inside(h, cents) for h in SUMMED}
     totals |= {
-        "_n": inside("30d"),
-        "_sum": inside("30d", cents),
-        "_squares": inside("30d", cents.cast("decimal(12,0)") * cents.cast("decimal(12,0)")),
+        "_n": inside("30d"), "_sum": inside("30d", cents), "_squares": inside("30d", _squares()),
         "_hours": inside("30d", F.col("_hour")),
-        "_devices": inside("30d", known.cast("int")),
+        "_devices": inside("30d", S.known_device(F.col("_dev")).cast("int")),
     }
-    event = F.when(F.col("h") == "", F.struct(
-        F.col("us").alias("us"), F.col("transaction_id").alias("id"),
-        F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))
+    event = F.when(F.col("h") == "", _event())
     out = before(points, [scope], totals, {"_last": event}, hot, us="at")
     out = before(out, [scope, "_cat"], {"_same_cat": inside("30d")}, {}, hot, us="at", source=points)
     # one of several uses of a device by a customer at the same instant stands for all
@@ -109,11 +175,7 @@ def history_windows(tx: DataFrame, hot_rows: int = HOT_ROWS, scope: str = "custo
     out = out.withColumn("_first", F.row_number().over(tie) == 1)
     out = before(out, [scope, "_dev"], {"_same_dev": inside("30d")}, {"_last_dev": event}, hot,
                  us="at", source=points)
-    out = arrivals(out)
-    for name in ("_last", "_last_dev"):
-        recent = F.col(f"{name}.us") >= F.col("us") - F.lit(MONTH)
-        out = out.withColumn(name, F.when(recent, F.col(name)))
-    return _money(out)
+    return arrivals(out)
 
 
 def behavior_columns(df: DataFrame) -> DataFrame:
@@ -166,7 +228,8 @@ def _cell(degrees: Column) -> Column:
     return F.floor(degrees / F.lit(CELL_DEG)).cast("int")
 
 
-def new_location(tx: DataFrame, hot_rows: int = HOT_ROWS, scope: str = "customer_id") -> DataFrame:
+def new_location(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "customer_id",
+                 counted: DataFrame | None = None) -> DataFrame:
     """Ids of located rows that are more than 50 km from every prior 30-day place.
 
     Places in one grid cell are always closer than 50 km, so a prior row in the same cell
@@ -178,13 +241,22 @@ def new_location(tx: DataFrame, hot_rows: int = HOT_ROWS, scope: str = "customer
         .select("transaction_id", scope, "us", "latitude", "longitude",
                 _cell(F.col("latitude")).alias("_row"), _cell(F.col("longitude")).alias("_col"))
     )
-    raw = sweep_points(placed, {"30d": MONTH}, ["transaction_id", "latitude", "longitude"])
-    hot = find_hot(placed, scope, raw, hot_rows=hot_rows)
-    raw = hot.segmented(raw, "at")
-    points = before(raw, [scope], {"_prior": inside("30d")}, {}, hot, us="at")
-    points = before(points, [scope, "_row", "_col"], {"_same": inside("30d")}, {}, hot, us="at",
-                    source=raw)
-    opening = arrivals(points).where("_prior > 0 and _same = 0")
+    if counted is None:
+        counted = take_census(tx, limits, scope)
+
+    def light(df: DataFrame) -> DataFrame:
+        return df.withColumn("_prior", F.count(F.lit(1)).over(_slide([scope], MONTH))).withColumn(
+            "_same", F.count(F.lit(1)).over(_slide([scope, "_row", "_col"], MONTH)))
+
+    def busy(df: DataFrame) -> DataFrame:
+        raw = sweep_points(df, {"30d": MONTH}, ["transaction_id", "latitude", "longitude"])
+        hot = find_hot(df, scope, raw, limits=limits, counted=counted)
+        raw = hot.segmented(raw, "at")
+        points = before(raw, [scope], {"_prior": inside("30d")}, {}, hot, us="at")
+        return arrivals(before(points, [scope, "_row", "_col"], {"_same": inside("30d")}, {}, hot,
+                               us="at", source=raw))
+
+    opening = by_density(placed, scope, counted, light, busy).where("_prior > 0 and _same = 0")
 
     # 50 km is 0.45 degrees of latitude; a degree of longitude shrinks with the cosine
     reach = F.least(F.lit(720), F.ceil(
@@ -213,38 +285,38 @@ def new_location(tx: DataFrame, hot_rows: int = HOT_ROWS, scope: str = "customer
     return opening.select("transaction_id").join(near, "transaction_id", "left_anti")
 
 
-def with_new_location(df: DataFrame, tx: DataFrame, hot_rows: int = HOT_ROWS,
-                      scope: str = "customer_id") -> DataFrame:
-    flags = broadcast_if_small(new_location(tx, hot_rows, scope).withColumn("is_new_location", F.lit(1)))
+def with_new_location(df: DataFrame, tx: DataFrame, limits: Limits = DEFAULT,
+                      scope: str = "customer_id", counted: DataFrame | None = None) -> DataFrame:
+    flags = broadcast_if_small(
+        new_location(tx, limits, scope, counted).withColumn("is_new_location", F.lit(1)))
     return df.join(flags, "transaction_id", "left").withColumn(
         "is_new_location", F.coalesce("is_new_location", F.lit(0)))
 
 
-def device_users(df: DataFrame, hot_rows: int = HOT_ROWS, scope: str | None = None) -> DataFrame:
+def device_users(df: DataFrame, tx: DataFrame, limits: Limits = DEFAULT,
+                 scope: str = "customer_id", counted: DataFrame | None = None) -> DataFrame:
     """Distinct customers on the device in the prior 24 h (at least 1).
 
     A customer covers the 24 h after each use; overlapping covers are merged through the
     previous use, so the number of customers is a running total and no set is collected.
-    Needs ``_last_dev`` (the customer's previous event on the device), ``_dev`` and ``_first``.
+    ``df`` is the result of :func:`history_windows` over ``tx``.
     """
     t, prev = F.col("us"), F.col("_last_dev.us")
     begin = F.when(prev.isNull() | (prev < t - F.lit(DAY)), t).otherwise(prev + F.lit(DAY))
-    known = S.known_device(F.col("_dev"))
     step = lambda at, delta: F.struct(at.alias("at"), F.lit(delta).alias("d"))
     cover = F.array(step(t, 0), step(begin, 1), step(t + F.lit(DAY), -1))
-    steps = F.when(known & F.col("_first"), cover).otherwise(F.array(step(t, 0)))
+    steps = F.when(S.known_device(F.col("_dev")) & F.col("_first"), cover).otherwise(F.array(step(t, 0)))
     # rows without a device share no key: they are spread over their own ids
-    lane = F.when(known, F.col("_dev")).otherwise(F.concat(F.lit("\u0000"), "transaction_id"))
-    if scope:
-        lane = F.concat(F.col(scope).cast("string"), F.lit("\u0001"), lane)
-    keyed = df.withColumn("_lane", lane)
-    points = keyed.withColumn("_step", F.explode(steps))
+    lane = F.coalesce(_lane(F.col("_dev"), scope), F.concat(F.lit("\u0000"), "transaction_id"))
+    points = df.withColumn("_lane", lane).withColumn("_step", F.explode(steps))
     own = F.col("_step.d") == 0
     points = points.select(
         *[F.when(own, F.col(c)).alias(c) for c in df.columns], "_lane",
         F.col("_step.at").alias("at"), F.col("_step.d").alias("d"))
-    hot = find_hot(keyed.where(known), "_lane", points.where("_lane not like '\u0000%'"),
-                   hot_rows=hot_rows)
+    uses = tx.withColumn("_lane", _lane(F.trim(F.coalesce("device_id", F.lit(""))), scope))
+    # every use opens and may close a cover: both ends shape the cuts of a hot device
+    ends = uses.select("_lane", F.explode(F.array("us", F.col("us") + F.lit(DAY))).alias("at"))
+    hot = find_hot(uses, "_lane", ends, limits=limits, counted=counted)
     out = before(hot.segmented(points, "at"), ["_lane"], {"_users": F.col("d")}, {}, hot, us="at")
     return (
         out.where("d = 0").drop("d", "at", "_seg", "_lane")

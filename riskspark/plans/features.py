@@ -7,21 +7,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskspark.constants import FEATURES
 from riskspark.functions import scalar as S
 from riskspark.operators import windows as W
-from riskspark.operators.hotkeys import HOT_ROWS
-from riskspark.session import broadcast_if_small, cut_lineage
+from riskspark.operators.hotkeys import DEFAULT, Limits, census
 
+MAX_CATEGORIES = 200_000
 
-def category_frequency(train: DataFrame) -> DataFrame:
+
+def category_frequency(train: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Rows per category and over all categories; kept as counts so that it stays exact."""
-    counts = cut_lineage(train.groupBy(F.coalesce("category", F.lit("None")).alias("_c")).agg(
-        F.count(F.lit(1)).alias("_rows")))
+    if counted is None:
+        counted = census(train, {}, {"category": F.coalesce("category", F.lit("None"))})
+    counts = counted.where("_kind = 'category'").select(
+        F.col("_key").alias("_c"), F.col("_n").alias("_rows"))
     total = counts.agg(F.sum("_rows")).first()[0] or 1  # one number
     return counts.withColumn("_all", F.lit(total))
 
 
 def category_code(df: DataFrame, frequency: DataFrame) -> DataFrame:
     """Whole thousandths of the trained frequency; an unseen category has 1."""
-    side = broadcast_if_small(frequency)
+    side = F.broadcast(frequency) if frequency.count() <= MAX_CATEGORIES else frequency
     return (
         df.join(side, F.coalesce("category", F.lit("None")) == F.col("_c"), "left")
         .withColumn("merchant_category_enc", F.coalesce(
@@ -46,17 +49,18 @@ def static_columns(df: DataFrame) -> DataFrame:
 
 
 def features_32(tx: DataFrame, train: DataFrame | None = None, anomaly: Column | None = None,
-                hot_rows: int = HOT_ROWS, scope: str = "customer_id") -> DataFrame:
+                limits: Limits = DEFAULT, scope: str = "customer_id") -> DataFrame:
     """All features plus the input columns (``amount`` keeps its decimal type).
 
     Exchanges of the wide rows: one by customer, one by device. ``scope`` may be a column that
     combines the customer with a split, to restart history per split.
     """
     keep = tx.columns
-    out = category_code(tx, category_frequency(tx if train is None else train))
-    out = W.with_new_location(out, tx, hot_rows, scope)
-    out = W.history_windows(out, hot_rows, scope)
-    out = W.device_users(out, hot_rows, scope=None if scope == "customer_id" else "split")
+    counted = W.take_census(tx, limits, scope)
+    out = category_code(tx, category_frequency(tx, counted) if train is None else category_frequency(train))
+    out = W.with_new_location(out, tx, limits, scope, counted)
+    out = W.history_windows(out, limits, scope, counted)
+    out = W.device_users(out, tx, limits, scope, counted)
     out = W.behavior_columns(out)
     out = W.previous_event_columns(out)
     out = W.home_distance(out)
@@ -71,11 +75,11 @@ def features_32(tx: DataFrame, train: DataFrame | None = None, anomaly: Column |
     return out.select(*keep, *[f for f in FEATURES if f not in keep])
 
 
-def features_by_split(tx: DataFrame, train: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def features_by_split(tx: DataFrame, train: DataFrame | None = None, limits: Limits = DEFAULT) -> DataFrame:
     """History restarts at every split boundary; ``tx`` carries ``split``."""
     scoped = tx.withColumn("_scope", F.concat_ws("\u0001", F.col("split"), F.col("customer_id")))
     fit_on = tx.where("split = 'train'") if train is None else train
-    return features_32(scoped, fit_on, hot_rows=hot_rows, scope="_scope").drop("_scope")
+    return features_32(scoped, fit_on, limits=limits, scope="_scope").drop("_scope")
 
 
 def vector(df: DataFrame) -> DataFrame:

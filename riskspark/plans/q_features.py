@@ -115,7 +115,8 @@ def w_new_location(spark, sf_dir):
 
 @register(QUERIES, "w_device_users_24h")
 def w_device_users_24h(spark, sf_dir):
-    return W.device_users(W.history_windows(_tx(spark, sf_dir))).select("transaction_id", "device_user_count_24h")
+    tx = _tx(spark, sf_dir)
+    return W.device_users(W.history_windows(tx), tx).select("transaction_id", "device_user_count_24h")
 
 
 def model_columns(df: DataFrame) -> list:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from riskspark.plans.q_features import QUERIES as _features
+from riskspark.plans import q_decisions, q_features
 
-QUERIES = {**_features}
+QUERIES = {}
+for _module in (q_features, q_decisions):
+    QUERIES.update(_module.QUERIES)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from verify.o_features import SQL as _features
+from verify import o_decisions, o_features
 
-SQL: dict[str, str] = {**_features}
+SQL: dict[str, str] = {}
+for _module in (o_features, o_decisions):
+    SQL.update(_module.SQL)
