@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riskspark.plans import q_decisions, q_features
+from riskspark.plans import q_decisions, q_features, q_sources
 
 QUERIES = {}
-for _module in (q_features, q_decisions):
+for _module in (q_features, q_decisions, q_sources):
     QUERIES.update(_module.QUERIES)

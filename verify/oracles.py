@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from verify import o_decisions, o_features
+from verify import o_decisions, o_features, o_sources
 
 SQL: dict[str, str] = {}
-for _module in (o_features, o_decisions):
+for _module in (o_features, o_decisions, o_sources):
     SQL.update(_module.SQL)
