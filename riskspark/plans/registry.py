@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riskspark.plans import q_decisions, q_features, q_sources
+from riskspark.plans import q_decisions, q_features, q_joins, q_sources, q_workflow
 
 QUERIES = {}
-for _module in (q_features, q_decisions, q_sources):
+for _module in (q_features, q_decisions, q_sources, q_joins, q_workflow):
     QUERIES.update(_module.QUERIES)

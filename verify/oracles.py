@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from verify import o_decisions, o_features, o_sources
+from verify import o_decisions, o_features, o_joins, o_sources
 
 SQL: dict[str, str] = {}
-for _module in (o_features, o_decisions, o_sources):
+for _module in (o_features, o_decisions, o_sources, o_joins):
     SQL.update(_module.SQL)
