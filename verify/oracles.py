@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from verify import o_decisions, o_evaluate, o_features, o_joins, o_sources
+from verify import o_decisions, o_evaluate, o_features, o_joins, o_sources, o_streaming
 
 SQL: dict[str, str] = {}
-for _module in (o_features, o_decisions, o_sources, o_joins, o_evaluate):
+for _module in (o_features, o_decisions, o_sources, o_joins, o_evaluate, o_streaming):
     SQL.update(_module.SQL)
