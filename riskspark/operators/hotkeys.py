@@ -57,12 +57,26 @@ def _bisect(cuts: str, us: str) -> Column:
     )
 
 
+@dataclass
+class Census:
+    """Row counts ``(_kind, _key, _n)`` and, per kind, how many keys are busy and hot."""
+
+    table: DataFrame
+    busy: dict[str, int]
+    hot: dict[str, int]
+    rows: dict[str, int]
+
+    def of(self, kind: str, above: int = 0) -> DataFrame:
+        return self.table.where((F.col("_kind") == kind) & (F.col("_n") > above)).select(
+            F.col("_key").alias(kind), "_n")
+
+
 def census(df: DataFrame, keys: dict[str, Column], whole: dict[str, Column] | None = None,
-           limits: Limits = DEFAULT) -> DataFrame:
-    """Row counts of several key columns in one scan: ``(_kind, _key, _n)``.
+           limits: Limits = DEFAULT) -> Census:
+    """Row counts of several key columns in one scan.
 
-    ``keys`` keep only the values that are not light; ``whole`` lists
-    low-cardinality columns whose counts are all kept. The result is materialised.
+    ``keys`` keep only the values that are not light; ``whole`` lists low-cardinality columns
+    whose counts are all kept. The result is materialised and its size measured.
     """
     wanted = {**keys, **(whole or {})}
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), c.cast("string").alias("v"))
@@ -75,25 +89,28 @@ def census(df: DataFrame, keys: dict[str, Column], whole: dict[str, Column] | No
     kept = (F.col("_n") > limits.light) & F.col("_key").isNotNull()
     if whole:
         kept = kept | F.col("_kind").isin(*whole)
-    return cut_lineage(counted.where(kept))
+    table = cut_lineage(counted.where(kept))
+    sizes = table.groupBy("_kind").agg(  # one row per kind
+        F.count(F.lit(1)).alias("busy"), F.count_if(F.col("_n") > limits.hot).alias("hot"),
+        F.sum("_n").alias("rows")).collect()
+    return Census(table, {r._kind: r.busy for r in sizes}, {r._kind: r.hot for r in sizes},
+                  {r._kind: r.rows for r in sizes})
 
 
 def find_hot(df: DataFrame, key: str, points: DataFrame, at: str = "at",
-             limits: Limits = DEFAULT, counted: DataFrame | None = None) -> HotKeys:
+             limits: Limits = DEFAULT, counted: Census | None = None) -> HotKeys:
     """The hot values of ``key`` and their time cuts, which are only computed for them.
 
     ``points`` holds what the window will read (arrivals and departures); the cuts follow its
-    time distribution. ``counted`` is a census taken earlier. The number of hot keys is
-    measured before any broadcast.
+    time distribution. ``counted`` is a census taken earlier.
     """
     if counted is None:
         counted = census(df, {key: F.col(key)}, limits=limits)
-    counted = counted.where((F.col("_kind") == key) & (F.col("_n") > limits.hot)).select(
-        F.col("_key").alias(key), "_n")
-    n_hot = counted.count()
+    n_hot = counted.hot.get(key, 0)
     if n_hot == 0:
         return HotKeys(key, None)
-    side = F.broadcast(counted) if n_hot <= BROADCAST_HOT_KEYS else counted
+    names = counted.of(key, limits.hot)
+    side = F.broadcast(names) if n_hot <= BROADCAST_HOT_KEYS else names
     narrow = points.select(F.col(key).cast("string").alias(key), F.col(at).alias("_us"))
     probs = [i / CUTS for i in range(1, CUTS)]
     cuts = (
@@ -109,18 +126,17 @@ def find_hot(df: DataFrame, key: str, points: DataFrame, at: str = "at",
     return HotKeys(key, F.broadcast(cuts) if n_hot <= BROADCAST_HOT_KEYS else cuts)
 
 
-def by_density(df: DataFrame, key: str, counted: DataFrame,
+def by_density(df: DataFrame, key: str, counted: Census,
                light: Callable[[DataFrame], DataFrame],
                busy: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Send light and busy keys to their own plan; when busy keys are many, all rows take the
     busy plan, which is right for any key."""
-    names = counted.where(F.col("_kind") == key).select(F.col("_key").alias(key))
-    n_busy = names.count()
+    n_busy = counted.busy.get(key, 0)
     if n_busy == 0:
         return light(df)
     if n_busy > BROADCAST_BUSY_KEYS:
         return busy(df)
-    side = F.broadcast(names)
+    side = F.broadcast(counted.of(key).select(key))
     return light(df.join(side, key, "left_anti")).unionByName(
         busy(df.join(side, key, "left_semi")))
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from riskspark.constants import DAY, SECOND
 from riskspark.functions import scalar as S
-from riskspark.operators.hotkeys import DEFAULT, Limits, before, by_density, census, find_hot
-from riskspark.session import broadcast_if_small
+from riskspark.operators.hotkeys import DEFAULT, Census, Limits, before, by_density, census, find_hot
+from riskspark.session import broadcast_if_small, cut_lineage
 
 MONTH = 30 * DAY
 HORIZONS = {"1m": 60 * SECOND, "5m": 300 * SECOND, "15m": 900 * SECOND, "1h": 3600 * SECOND,
@@ -94,7 +94,7 @@ def _money(df: DataFrame) -> DataFrame:
     return df
 
 
-def take_census(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "customer_id") -> DataFrame:
+def take_census(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "customer_id") -> Census:
     """Busy customers, busy devices and all category counts in one scan."""
     lane = _lane(F.trim(F.coalesce("device_id", F.lit(""))), scope)
     return census(tx, {scope: F.col(scope), "_lane": lane},
@@ -117,7 +117,7 @@ def _event() -> Column:
 
 
 def history_windows(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "customer_id",
-                    counted: DataFrame | None = None) -> DataFrame:
+                    counted: Census | None = None) -> DataFrame:
     """Every customer-keyed window in one exchange: velocity, 30-day behaviour, category
     share, known devices and the previous event.
 
@@ -154,7 +154,7 @@ def _history_light(df: DataFrame, scope: str) -> DataFrame:
     })
 
 
-def _history_busy(base: DataFrame, scope: str, limits: Limits, counted: DataFrame) -> DataFrame:
+def _history_busy(base: DataFrame, scope: str, limits: Limits, counted: Census) -> DataFrame:
     group = ["_cat", "_dev", "_cents", "_hour", scope]
     points = sweep_points(base, HORIZONS, [c for c in base.columns if c not in group])
     hot = find_hot(base, scope, points, limits=limits, counted=counted)
@@ -229,7 +229,7 @@ def _cell(degrees: Column) -> Column:
 
 
 def new_location(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "customer_id",
-                 counted: DataFrame | None = None) -> DataFrame:
+                 counted: Census | None = None) -> DataFrame:
     """Ids of located rows that are more than 50 km from every prior 30-day place.
 
     Places in one grid cell are always closer than 50 km, so a prior row in the same cell
@@ -256,7 +256,7 @@ def new_location(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "customer
         return arrivals(before(points, [scope, "_row", "_col"], {"_same": inside("30d")}, {}, hot,
                                us="at", source=raw))
 
-    opening = by_density(placed, scope, counted, light, busy).where("_prior > 0 and _same = 0")
+    opening = cut_lineage(by_density(placed, scope, counted, light, busy).where("_prior > 0 and _same = 0"))
 
     # 50 km is 0.45 degrees of latitude; a degree of longitude shrinks with the cosine
     reach = F.least(F.lit(720), F.ceil(
@@ -286,7 +286,7 @@ def new_location(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "customer
 
 
 def with_new_location(df: DataFrame, tx: DataFrame, limits: Limits = DEFAULT,
-                      scope: str = "customer_id", counted: DataFrame | None = None) -> DataFrame:
+                      scope: str = "customer_id", counted: Census | None = None) -> DataFrame:
     flags = broadcast_if_small(
         new_location(tx, limits, scope, counted).withColumn("is_new_location", F.lit(1)))
     return df.join(flags, "transaction_id", "left").withColumn(
@@ -294,7 +294,7 @@ def with_new_location(df: DataFrame, tx: DataFrame, limits: Limits = DEFAULT,
 
 
 def device_users(df: DataFrame, tx: DataFrame, limits: Limits = DEFAULT,
-                 scope: str = "customer_id", counted: DataFrame | None = None) -> DataFrame:
+                 scope: str = "customer_id", counted: Census | None = None) -> DataFrame:
     """Distinct customers on the device in the prior 24 h (at least 1).
 
     A customer covers the 24 h after each use; overlapping covers are merged through the

@@ -145,10 +145,10 @@ def _cadence(candidates: DataFrame, limits: Limits) -> DataFrame:
     """The greedy choice: each accepted attempt is at least ``_gap`` after the last one."""
     first = candidates.groupBy("mandate_id", "us", "_gap").agg(F.min("attempt_id").alias("attempt_id"))
     counted = census(first, {"mandate_id": F.col("mandate_id")}, limits=Limits(limits.light * 50, limits.hot))
-    names = counted.select(F.col("_key").alias("mandate_id"))
-    n_hot = names.count()
+    n_hot = counted.busy.get("mandate_id", 0)
     if n_hot == 0:
         return _fold(first)
+    names = counted.of("mandate_id").select("mandate_id")
     side = F.broadcast(names) if n_hot <= 100_000 else names
     cold, hot = first.join(side, "mandate_id", "left_anti"), first.join(side, "mandate_id", "left_semi")
     return _fold(cold).unionByName(_doubling(hot, limits))

@@ -7,19 +7,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskspark.constants import FEATURES
 from riskspark.functions import scalar as S
 from riskspark.operators import windows as W
-from riskspark.operators.hotkeys import DEFAULT, Limits, census
+from riskspark.operators.hotkeys import DEFAULT, Census, Limits, census
 
 MAX_CATEGORIES = 200_000
 
 
-def category_frequency(train: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+def category_frequency(train: DataFrame, counted: Census | None = None) -> DataFrame:
     """Rows per category and over all categories; kept as counts so that it stays exact."""
     if counted is None:
         counted = census(train, {}, {"category": F.coalesce("category", F.lit("None"))})
-    counts = counted.where("_kind = 'category'").select(
-        F.col("_key").alias("_c"), F.col("_n").alias("_rows"))
-    total = counts.agg(F.sum("_rows")).first()[0] or 1  # one number
-    return counts.withColumn("_all", F.lit(total))
+    counts = counted.of("category").select(F.col("category").alias("_c"), F.col("_n").alias("_rows"))
+    return counts.withColumn("_all", F.lit(counted.rows.get("category", 1)))
 
 
 def category_code(df: DataFrame, frequency: DataFrame) -> DataFrame:

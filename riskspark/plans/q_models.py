@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskspark.constants import FEATURES
+from riskspark.functions.scalar import rnd
 from riskspark.operators import evaluate as E
 from riskspark.operators import ml as M
 from riskspark.plans import features as P
@@ -101,4 +102,5 @@ def imb_oversample_pairs(spark, sf_dir):
 def challenger_udf(spark, sf_dir):
     """A user's scoring function over Arrow batches; errors become null scores."""
     out = P.features_32(transactions(spark, sf_dir, 300))
-    return M.isolated_scores(out, lambda x: 1.0 / (1.0 + x[:, FEATURES.index("amount_to_balance_ratio")]))
+    at = FEATURES.index("amount_to_balance_ratio")
+    return M.isolated_scores(out, lambda x: 1.0 / (1.0 + x[:, at])).withColumn("p", rnd(F.col("p"), 6))

@@ -12,7 +12,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,6 +22,7 @@ from riskspark.operators import windows as W
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MONTH = 30 * DAY
+NONE = np.zeros(0, dtype=np.int64)
 HISTORY = "us bigint, cents bigint, hour int, cat string, dev string, lat double, lon double, id string"
 RAW = T.StructType([
     T.StructField("transaction_id", T.StringType()), T.StructField("customer_id", T.StringType()),
@@ -29,6 +30,7 @@ RAW = T.StructType([
     T.StructField("hour", T.IntegerType()), T.StructField("cat", T.StringType()),
     T.StructField("dev", T.StringType()), T.StructField("lat", T.DoubleType()),
     T.StructField("lon", T.DoubleType()), T.StructField("payload", T.StringType()),
+    T.StructField("lane", T.IntegerType()), T.StructField("member", T.BooleanType()),
 ])
 OUT = T.StructType(
     [f for f in RAW.fields]
@@ -38,7 +40,7 @@ OUT = T.StructType(
     + [T.StructField("_squares", T.DecimalType(38, 0))]
     + [T.StructField(f"_{p}_{c}", T.LongType() if c == "us" else T.DoubleType())
        for p in ("any", "own") for c in ("us", "lat", "lon")]
-    + [T.StructField("_far", T.BooleanType()), T.StructField("late", T.BooleanType())])
+    + [T.StructField(n, T.BooleanType()) for n in ("_placed", "_near", "late")])
 
 
 def use_rocks(df: DataFrame) -> None:
@@ -60,8 +62,9 @@ def _stack(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
 
 
 def window_arrays(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    """Prior-window values of every row of ``new``, given the key's sorted history ``old``."""
-    both = _stack(old, new[old.columns]).sort_values(["us", "id"], kind="stable", ignore_index=True)
+    """Prior-window values of every row of ``new``, given the key's history ``old`` and the
+    members among ``new``."""
+    both = _stack(old, new.loc[new.member.astype(bool), old.columns]).sort_values(["us", "id"], kind="stable", ignore_index=True)
     us, cents = both.us.to_numpy(np.int64), both.cents.to_numpy(np.int64)
     t = new.us.to_numpy(np.int64)
     upto = np.searchsorted(us, t, "left")
@@ -91,7 +94,7 @@ def window_arrays(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
     def among(index: dict, names: pd.Series):
         same, last = np.zeros(len(new), np.int64), np.full(len(new), -1)
         for i, (name, a, b) in enumerate(zip(names, lo, upto)):
-            at = index[name]
+            at = index.get(name, NONE)
             x, y = np.searchsorted(at, a), np.searchsorted(at, b)
             same[i] = y - x
             if y > x:
@@ -106,11 +109,12 @@ def window_arrays(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         out[f"_{p}_us"] = pd.array(np.where(hit, us[safe], 0), dtype="Int64")
         out.loc[~hit, f"_{p}_us"] = pd.NA
         out[f"_{p}_lat"], out[f"_{p}_lon"] = np.where(hit, lat[safe], np.nan), np.where(hit, lon[safe], np.nan)
-    far = []
+    out["_placed"] = span(running(place.astype(np.int64)), lo) > 0
+    near = []
     for a, b, y, x in zip(lo, upto, new.lat, new.lon):
         seen = place[a:b]
-        far.append(bool((y or x) and seen.any() and _km(y, x, lat[a:b][seen], lon[a:b][seen]).min() > W.NEAR_KM))
-    out["_far"] = far
+        near.append(bool((y or x) and seen.any() and _km(y, x, lat[a:b][seen], lon[a:b][seen]).min() <= W.NEAR_KM))
+    out["_near"] = near
     return out
 
 
@@ -136,7 +140,7 @@ class HistoryProcessor(StatefulProcessor):
             late = new.us < old.us.max() - self.lateness_us
         todo, rest = new[~late].reset_index(drop=True), new[late]
         if self.blocked is None or not len(todo):
-            scored, joined = window_arrays(old, todo), todo
+            scored, joined = window_arrays(old, todo), todo[todo.member.astype(bool)]
         else:
             scored, joined = self._one_by_one(old, todo)
         alive = _stack(old, joined[names]).sort_values(["us", "id"], kind="stable")
@@ -186,18 +190,46 @@ def impossible_travel(rows: pd.DataFrame) -> np.ndarray:
 
 
 def history_stream(tx: DataFrame, lateness_us: int | None = None,
-                   blocked: Callable[[pd.DataFrame], np.ndarray] | None = None) -> DataFrame:
-    """Raw window values per transaction, as :func:`windows.history_windows` gives in batch."""
+                   blocked: Callable[[pd.DataFrame], np.ndarray] | None = None,
+                   lanes: Column | None = None) -> DataFrame:
+    """Raw window values per transaction, as :func:`windows.history_windows` gives in batch.
+
+    ``lanes`` splits the history of a hot customer: a row is stored in one lane and asks all
+    of them, and :func:`merge_lanes` adds the parts within the micro-batch. Deciding row by
+    row (``blocked``) or against the newest row (``lateness_us``) needs the whole key.
+    """
+    if lanes is not None and (blocked is not None or lateness_us is not None):
+        raise ValueError("lanes cannot be combined with eviction or lateness")
     use_rocks(tx)
+    n = F.lit(1) if lanes is None else lanes
     narrow = tx.select(
         "transaction_id", "customer_id", "us", (F.col("amount") * 100).cast("bigint").alias("cents"),
         S.hour_of(F.col("us")).alias("hour"), F.lower(F.coalesce("category", F.lit(""))).alias("cat"),
         F.trim(F.coalesce("device_id", F.lit(""))).alias("dev"), F.col("latitude").alias("lat"),
-        F.col("longitude").alias("lon"), F.to_json(F.struct(*tx.columns)).alias("payload"))
-    return narrow.groupBy("customer_id").transformWithStateInPandas(
+        F.col("longitude").alias("lon"), F.to_json(F.struct(*tx.columns)).alias("payload"),
+        F.explode(F.sequence(F.lit(0), n - 1)).alias("lane"),
+        F.pmod(F.xxhash64("transaction_id"), n).cast("int").alias("_home"))
+    narrow = narrow.withColumn("member", F.col("lane") == F.col("_home")).drop("_home")
+    return narrow.groupBy("customer_id", "lane").transformWithStateInPandas(
         HistoryProcessor(lateness_us, blocked), OUT, "Append", "None")
 
 
+def merge_lanes(batch: DataFrame) -> DataFrame:
+    """One row per transaction from the parts of its lanes (all in the same micro-batch)."""
+    added = [c for c in OUT.fieldNames() if c.startswith(("tx_count_", "_cents_")) or c in (
+        "_n", "_sum", "_hours", "_same_cat", "_devices", "_same_dev", "_squares")]
+    last = {p: [f"_{p}_{c}" for c in ("us", "lat", "lon")] for p in ("any", "own")}
+    flags = ["_placed", "_near", "late"]
+    fixed = [c for c in OUT.fieldNames() if c not in (*added, *flags, *last["any"], *last["own"], "lane", "member")]
+    fixed.remove("transaction_id")
+    newest = {p: F.max_by(F.struct(*cols), F.col(cols[0])).alias(f"_{p}") for p, cols in last.items()}
+    out = batch.groupBy("transaction_id").agg(
+        *[F.any_value(c).alias(c) for c in fixed], *[F.sum(c).cast(OUT[c].dataType).alias(c) for c in added],
+        *[F.bool_or(c).alias(c) for c in flags], *newest.values())
+    picked = {c: F.col(f"_{p}.{c}") for p, cols in last.items() for c in cols}
+    return out.withColumns({**picked, "lane": F.lit(0), "member": F.lit(True)}).select(*OUT.fieldNames())
+
+
 def finish(raw: DataFrame, tx_schema: T.StructType) -> DataFrame:
     """Features of the state output, by the batch expressions."""
     tx = F.from_json("payload", tx_schema)
@@ -208,11 +240,11 @@ def finish(raw: DataFrame, tx_schema: T.StructType) -> DataFrame:
         F.col(f"_{p}_us").alias("us"), F.col(f"_{p}_lat").alias("lat"), F.col(f"_{p}_lon").alias("lon")))
     out = out.withColumns({"_last": prev("any"), "_last_dev": prev("own"), "_dev": F.col("dev"),
                            "_hour": F.col("hour"), "_cents": F.col("cents"),
-                           "is_new_location": F.col("_far").cast("int")})
+                           "is_new_location": (S.has_place(F.col("lat"), F.col("lon")) & F.col("_placed") & ~F.col("_near")).cast("int")})
     for h in W.SUMMED:
         out = out.withColumn(f"amount_sum_{h}", F.col(f"_cents_{h}") / F.lit(100.0))
     out = W.new_device_column(W.home_distance(W.previous_event_columns(W.behavior_columns(out))))
-    drop = [c for c in out.columns if c.startswith("_") or c in ("cents", "hour", "cat", "dev", "lat", "lon")]
+    drop = [c for c in out.columns if c.startswith("_") or c in ("cents", "hour", "cat", "dev", "lat", "lon", "lane", "member")]
     return out.drop(*drop)
 
 

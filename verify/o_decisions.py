@@ -165,3 +165,5 @@ select kind, label, count(*) as n, {rnd(f'count(*) * {D(100)} / (select count(*)
   select 'decision' as kind, decision as label from decided union all select 'risk_level', risk_level from decided
   union all select 'hard_block', cast(hard_block as varchar) from decided
 """ + "".join(f" union all select 'trigger', '{s}' from decided where {c} > {D(t)}" for s, c, t in TRIG) + ") group by 1, 2"
+SQL["challenger_udf"] = with_(tx_cte(squeeze=300)) + f"""
+select transaction_id, {rnd(f"1.0 / (1.0 + cast(amount as double) / (greatest(origin_balance, 0.0) + {D('0.00001')}))", 6)} as p, cast(null as varchar) as error from tx"""
