@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskspark.session import cut_lineage
+from riskspark.session import broadcast_if_small, cut_lineage
 
 PARTITION_BITS = 33
 BROADCAST_OFFSETS = 1_000_000
@@ -87,7 +87,7 @@ def order_statistics(df: DataFrame, value: str, ranks: DataFrame, group: list[st
     distinct = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_cnt"))
     run = running_totals(distinct, [F.col(value)], {"_upto": F.col("_cnt")}, group)
     return (
-        run.join(F.broadcast(ranks), group)  # a few ranks per group
+        run.join(broadcast_if_small(ranks), group)
         .where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_cnt")))
         .select(*group, "rank", F.col(value).alias("value"))
     )

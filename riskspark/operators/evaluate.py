@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskspark.constants import WEIGHT_SETS, WEIGHTS
 from riskspark.functions.scalar import rnd
 from riskspark.operators.distsort import global_row_number, rank_threshold, running_totals
-from riskspark.session import cut_lineage
+from riskspark.session import broadcast_if_small, cut_lineage
 
 BIG = "decimal(38,0)"
 
@@ -65,15 +65,31 @@ def hash_order(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
+def _leading(df: DataFrame, count: int, key: str, seed: int) -> Column:
+    """Predicate of the first ``count`` rows in hash order.
+
+    The cut is found by counting the leading hash bits; nothing is sorted or shuffled but the
+    rows that share those bits with the cut.
+    """
+    h = hash_order(F.lit(str(seed)), F.col(key))
+    lead = F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint")
+    if count <= 0:
+        return F.lit(False)
+    hashed = df.select(F.col(key), lead.alias("_lead"), h.alias("_h"))
+    at, below = rank_threshold(hashed, "_lead", count - 1)
+    ties = global_row_number(hashed.where(F.col("_lead") == at).select("_h", key), [F.col("_h"), F.col(key)])
+    last = ties.where(F.col("rn") == count - below).first()
+    return (lead < at) | ((lead == at) & (F.struct(h, F.col(key)) <= F.struct(F.lit(last["_h"]), F.lit(last[key]))))
+
+
 def split_stratified(df: DataFrame, label: str = "is_fraud", key: str = "transaction_id",
                      test: float = 0.2, seed: int = 42) -> DataFrame:
     """80/20 split that keeps the label ratio exactly: per label, the first 20 % in hash order."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = global_row_number(df.withColumn("_h", hash_order(F.lit(str(seed)), F.col(key))),
-                               [F.col("_h"), F.col(key)], "_rn", [label])
-    out = ranked.join(F.broadcast(sizes), label)  # one row per label
-    return out.withColumn("split", F.when(F.col("_rn") <= F.floor(F.col("_n") * test), "test").otherwise("train")).drop(
-        "_h", "_rn", "_n")
+    in_test = F.lit(False)
+    for row in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect():  # one row per label
+        one = F.col(label) == row[label]
+        in_test = in_test | (one & _leading(df.where(one), int(row.n * test), key, seed))
+    return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
 
 
 def audit(df: DataFrame, label: str, types: str) -> DataFrame:
@@ -117,7 +133,7 @@ def curve(scored: DataFrame, label: str = "label", score: str = "p",
     run = cut_lineage(running_totals(counts, [F.col("p").desc()], totals, group))
     whole = [F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.max("i").alias("_last")]
     if group:
-        run = run.join(F.broadcast(run.groupBy(*group).agg(*whole)), group)  # a row per group
+        run = run.join(broadcast_if_small(run.groupBy(*group).agg(*whole)), group)
     else:
         one = run.agg(*whole).first()  # three numbers
         run = run.withColumns({c: F.lit(one[c]) for c in ("n_pos", "n_neg", "_last")})
@@ -323,19 +339,9 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def undersample(df: DataFrame, ratio: float = 10.0, label: str = "label", key: str = "transaction_id", seed: int = 42) -> DataFrame:
-    """All positives and exactly ``ratio`` times as many negatives, in hash order.
-
-    The cut is found by counting the leading hash bits; the rows are then only filtered.
-    """
-    pos = df.where(F.col(label) == 1).count()
-    neg = df.where(F.col(label) == 0).withColumn("_h", hash_order(F.lit(str(seed)), F.col(key)))
-    target = int(pos * ratio)
-    if neg.count() <= target:
+    """All positives and exactly ``ratio`` times as many negatives, in hash order."""
+    pos, n = df.agg(F.sum((F.col(label) == 1).cast("bigint")), F.count(F.lit(1))).first()
+    target, negative = int((pos or 0) * ratio), F.col(label) == 0
+    if n - (pos or 0) <= target:
         return df
-    lead = F.conv(F.substring("_h", 1, 12), 16, 10).cast("bigint")
-    neg = neg.withColumn("_lead", lead)
-    at, below = rank_threshold(neg, "_lead", target)
-    ties = global_row_number(neg.where(F.col("_lead") == at), [F.col("_h"), F.col(key)])
-    kept = neg.where(F.col("_lead") < at).select(*df.columns).unionByName(
-        ties.where(F.col("rn") <= target - below).select(*df.columns))
-    return df.where(F.col(label) == 1).unionByName(kept)
+    return df.where((F.col(label) == 1) | (negative & _leading(df.where(negative), target, key, seed)))

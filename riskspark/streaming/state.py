@@ -260,27 +260,42 @@ class DeviceProcessor(StatefulProcessor):
         had, counts = dict(last), []
         for t, same in new.groupby("us", sort=True):
             last = {c: u for c, u in last.items() if u >= t - DAY}
-            counts += [max(1, len(last))] * len(same)
-            last |= {c: t for c in same.customer_id}
+            counts += [len(last)] * len(same)
+            last |= {c: t for c in same.customer_id[same.member.astype(bool)]}
         for c in had.keys() - last.keys():
             self.users.removeKey((c,))
         for c, u in last.items():
             if had.get(c) != u:
                 self.users.updateValue((c,), (int(u),))
-        yield pd.DataFrame({"transaction_id": new.transaction_id, "device_user_count_24h": counts})
+        yield pd.DataFrame({"transaction_id": new.transaction_id, "users": counts})
 
     def close(self) -> None:
         pass
 
 
-def device_stream(tx: DataFrame) -> DataFrame:
-    """Distinct customers on the device in the prior 24 h; rows without a device hold no state."""
+def device_stream(tx: DataFrame, lanes: Column | None = None) -> DataFrame:
+    """Distinct customers on the device in the prior 24 h, per lane of the device.
+
+    A customer lives in one lane and every use asks all lanes, so :func:`merge_users` adds
+    disjoint counts. Rows without a device hold no state.
+    """
     use_rocks(tx)
-    named = tx.select("transaction_id", "customer_id", "us", F.trim(F.coalesce("device_id", F.lit(""))).alias("device"))
+    n = F.lit(1) if lanes is None else lanes
+    named = tx.select(
+        "transaction_id", "customer_id", "us", F.trim(F.coalesce("device_id", F.lit(""))).alias("device"),
+        F.explode(F.sequence(F.lit(0), n - 1)).alias("lane"),
+        F.pmod(F.xxhash64("customer_id"), n).cast("int").alias("_home"))
+    named = named.withColumn("member", F.col("lane") == F.col("_home")).drop("_home")
     known = S.known_device(F.col("device"))
-    schema = "transaction_id string, device_user_count_24h int"
-    counted = named.where(known).groupBy("device").transformWithStateInPandas(DeviceProcessor(), schema, "Append", "None")
-    return counted.unionByName(named.where(~known).select("transaction_id", F.lit(1).alias("device_user_count_24h")))
+    counted = named.where(known).groupBy("device", "lane").transformWithStateInPandas(
+        DeviceProcessor(), "transaction_id string, users int", "Append", "None")
+    return counted.unionByName(named.where(~known & (F.col("lane") == 0)).select("transaction_id", F.lit(0).alias("users")))
+
+
+def merge_users(batch: DataFrame) -> DataFrame:
+    """Count per transaction from the parts of its lanes; at least 1."""
+    return batch.groupBy("transaction_id").agg(
+        F.greatest(F.lit(1), F.sum("users")).cast("int").alias("device_user_count_24h"))
 
 
 class MandateProcessor(StatefulProcessor):

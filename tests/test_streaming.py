@@ -27,7 +27,8 @@ def test_stream_equals_batch_with_lanes(spark):
 
 def test_device_users_stream(spark):
     df = tx(spark, skewed(240))
-    got = J.replay(df, "us", CUTS, "t-devices", T.device_stream)
+    lanes = F.when(F.col("device_id") == "d0", 3).otherwise(1)
+    got = J.replay(df, "us", CUTS, "t-devices", lambda s: T.device_stream(s, lanes), T.merge_users)
     want = P.features_32(df).select("transaction_id", "device_user_count_24h")
     assert sorted(map(tuple, got.select("transaction_id", "device_user_count_24h").collect())) == sorted(map(tuple, want.collect()))
 
