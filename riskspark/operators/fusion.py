@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskspark.constants import (
     BLOCK_SCORE, BOOST_PER_TRIGGER, DEFAULT_REASON, HARD_BLOCK_SCORE, MIN_TRIGGERS, ML_BLOCK,
@@ -213,15 +213,10 @@ def decision_mix(df: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit("all").alias("kind"), F.lit("all").alias("label"))))
     counts = df.select(F.explode(tags).alias("t")).groupBy("t.kind", "t.label").agg(F.count(F.lit(1)).alias("n"))
     # about fifteen labels: the total travels in the grouped rows, not in a join
-    every = F.max(F.when(F.col("kind") == "all", F.col("n"))).over(_one_group())
+    every = F.max(F.when(F.col("kind") == "all", F.col("n"))).over(Window.partitionBy(F.lit(1)))
     return counts.withColumn("percent", rnd(F.col("n") * F.lit(100.0) / every, 2)).where("kind <> 'all'")
 
 
-def _one_group():
-    from pyspark.sql import Window
-    return Window.partitionBy(F.lit(1))
-
-
 def heuristic_score(df: DataFrame) -> DataFrame:
     """The early additive score, capped at 1, with its explanations."""
     amount, balance = F.col("amount").cast("double"), F.col("oldbalanceOrg")

@@ -28,11 +28,16 @@ def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a scratch folder only where none is set."""
+    """The cluster's checkpoint folder; in local mode a scratch folder where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="run-")
+        if current.isDefined():
+            path = current.get()
+        elif spark.sparkContext.master.startswith("local"):
+            path = tempfile.mkdtemp(prefix="run-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from riskspark.constants import FEATURES
 from riskspark.functions import scalar as S
+from riskspark.operators import asof as A
 from riskspark.operators import windows as W
 from riskspark.operators.hotkeys import Limits
 from riskspark.plans import features as P
@@ -134,3 +135,12 @@ def test_vector_faults(spark):
 def test_payment_codes(spark):
     df = spark.createDataFrame([("transfer",), ("WIRE",), (None,)], "p string")
     assert [r[0] for r in df.select(S.payment_code(F.col("p"))).collect()] == [0, 6, 6]
+
+
+def test_velocity_and_probes_on_hot_keys(spark):
+    df = tx(spark, skewed())
+    probes = df.where("cast(substr(transaction_id, 2) as int) % 4 = 0").selectExpr("customer_id", "us + 5 as us", "transaction_id as probe")
+    for run in (lambda lim: W.velocity(df, lim), lambda lim: A.velocity_at(df, probes, limits=lim),
+                lambda lim: A.behavior_at(df, probes, limits=lim)):
+        pick = lambda lim: sorted(map(repr, map(tuple, run(lim).select(*sorted(run(lim).columns)).collect())))
+        assert pick(Limits()) == pick(SPLIT_ALL)
