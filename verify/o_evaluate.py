@@ -160,9 +160,15 @@ select sum(c) as total_input, count(*) as unique_input, sum(c) - count(*) as dup
   {rnd(f"count(*) filter (s = 'lost') * {D(100)} / count(*)", 4)} as loss_percent from l"""
 STG = """stg as (select case k % 7 when 0 then 'kafka_consume' when 1 then 'redis' when 2 then 'feature_engine' when 3 then 'model' when 4 then 'risk_engine'
   when 5 then 'serialization' else 'e2e' end as stage, v as latency from tx)"""
-SQL["latency_summary"] = with_(tx_cte(), STG) + f"""
-select stage, {rnd('cast(sum(latency) as double) / count(*)', 3)} as mean, cast(min(latency) as double) as min, cast(max(latency) as double) as max, count(*) as count,
-  {rnd('quantile_cont(cast(latency as double), 0.5)', 3)} as p50, {rnd('quantile_cont(cast(latency as double), 0.95)', 3)} as p95, {rnd('quantile_cont(cast(latency as double), 0.99)', 3)} as p99 from stg group by 1"""
+RANKS = """rk as (select stage, cast(latency as double) as x, row_number() over (partition by stage order by latency) - 1 as r,
+  count(*) over (partition by stage) as n from stg),
+hh as (select stage, n, p, p * (n - 1) as h from (select distinct stage, n from rk), (select unnest([0.5::double, 0.95::double, 0.99::double]) as p)),
+qq as (select hh.stage, p, a.x + (b.x - a.x) * (h - floor(h)) as v from hh join rk a on a.stage = hh.stage and a.r = floor(h)
+  join rk b on b.stage = hh.stage and b.r = least(floor(h) + 1, hh.n - 1))"""
+SQL["latency_summary"] = with_(tx_cte(), STG, RANKS, f"""bs as (select stage, {rnd('cast(sum(latency) as double) / count(*)', 3)} as mean,
+  cast(min(latency) as double) as min, cast(max(latency) as double) as max, count(*) as count from stg group by 1)""") + f"""
+select bs.*, {rnd("max(v) filter (p = 0.5::double)", 3)} as p50, {rnd("max(v) filter (p = 0.95::double)", 3)} as p95,
+  {rnd("max(v) filter (p = 0.99::double)", 3)} as p99 from bs join qq using (stage) group by bs.stage, bs.mean, bs.min, bs.max, bs.count"""
 _b = [0.25, 0.5, 1.0, 2.5, 5.0, 7.5, 10.0, 15.0, 20.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0]
 SQL["latency_histogram"] = with_(tx_cte(), STG) + "select stage, case " + " ".join(f"when latency <= {x} then '{x}'" for x in _b) + " else '+Inf' end as bucket, count(*) as n from stg group by 1, 2"
 SQL["lag_trend"] = with_(tx_cte(), """s as (select user_id % 20 as partition, arg_min(k % 40, us) as initial_lag, max(k % 40) as max_lag, arg_max(k % 40, us) as final_lag,
