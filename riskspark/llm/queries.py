@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskspark.llm import common, quality
+from riskspark.llm import common, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, forest).select(
         "doc_id", (common.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op8_simhash_cover")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
