@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskspark.llm import common, decontaminate, quality, secret_scan, simhash
+from riskspark.llm import common, decontaminate, pieces, quality, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_secret_scan")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_sentencepiece_spans")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
