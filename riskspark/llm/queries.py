@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskspark.llm import common, decontaminate, pieces, quality, secret_scan, simhash
+from riskspark.llm import chat, common, decontaminate, pieces, quality, rules, secret_scan, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_sentencepiece_spans")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op7_chat_format")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_conversations(rows))
+
+
+@query("op5_url_vocabulary")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_divergence_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = rules.judge(docs.select("doc_id", "text"), rules.references(docs))
+    return judged.select("doc_id", *rules.BASE, "base_failed", "kept", "class_distance", "word_distance")
+
+
+SQL["op7_chat_format"] = chat.SQL
+SQL["op5_url_vocabulary"] = urls.oracle()
