@@ -64,12 +64,14 @@ def concat_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
 
 
-def hashed_sample(df: DataFrame, key: str, most: int, seed: str) -> DataFrame:
-    """At most ``most`` rows of ``df``, chosen by a hash of the key: the same at every run.
-
-    One count gives the share; the few rows that pass it are cut to the bound by hash order.
-    """
+def hashed_share(df: DataFrame, key: str, most: int, seed: str) -> tuple[DataFrame, Column]:
+    """About 1.1 * ``most`` rows chosen by a hash of the key, and the hash; one count gives the share."""
     rank = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40))
-    n = df.count()
-    rate = int(min(1.0, 1.1 * most / max(n, 1)) * (1 << 40))
-    return df.where(rank < rate).orderBy(rank, key).limit(most)
+    rate = int(min(1.0, 1.1 * most / max(df.count(), 1)) * (1 << 40))
+    return df.where(rank < rate), rank
+
+
+def hashed_sample(df: DataFrame, key: str, most: int, seed: str) -> DataFrame:
+    """At most ``most`` rows of ``df`` in the order of a hash of the key: the same at every run."""
+    share, rank = hashed_share(df, key, most, seed)
+    return share.orderBy(rank, key).limit(most)
