@@ -7,8 +7,7 @@
    one power iteration, then the leading ``KEPT`` of the directions, and further ones for passages
    that these do not show.
 3. Every window of every document is compared by cosine with all passages of a block in its latent
-   space. A window whose weight on the block's terms is below ``cosine`` of its norm cannot reach the
-   threshold (the directions are orthonormal), so it is left out exactly.
+   space: half windows are summed once, as arrays, and added in pairs.
 4. A candidate's surroundings are compared word by word: it counts if the longest common subsequence
    covers ``copied`` of the passage, or ``close`` of it while the answer (the ``answer`` column, or the
    item's last sentence) is there too.
@@ -24,7 +23,6 @@ from __future__ import annotations
 
 import pickle
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +34,11 @@ from riskspark.llm import common
 
 TERMS = 1 << 17
 ITEM_WORDS, ITEM_STEP = 64, 32
-WINDOW, STEP = 32, 16
+STEP = 16  # half a window
 BLOCK, KEPT, SHOWN = 256, 0.9, 0.5
-CACHED = 1_000_000
-STEP_BYTES = 1_000_000
+STEP_BYTES = 400_000
+BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+POWER = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 HIT = T.StructType([
@@ -47,39 +46,53 @@ HIT = T.StructType([
     T.StructField("lcs", T.DoubleType()), T.StructField("answer", T.DoubleType())])
 
 
-class TermCache(dict):
-    """Hashed term of a word; forgets everything when it holds CACHED words."""
+def plain(text: bytes) -> bytes:
+    """Lower case, without ASCII punctuation."""
+    if not text.isascii():
+        text = text.decode("utf-8", "replace").lower().encode()
+    return text.translate(LOWER, PUNCTUATION)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = term = zlib.crc32(word) % TERMS
-        return term
 
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and the number of words of each: no step per word."""
+    parts = [plain(t) for t in texts]
+    data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
+    inside = ~BLANK[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    place = np.arange(len(data)) - starts[np.maximum(np.cumsum(first) - 1, 0)]
+    value = (data.astype(np.uint64) + np.uint64(1)) * POWER[place % len(POWER)]
+    value[~inside] = 0
+    h = np.add.reduceat(value, starts)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    ends = np.cumsum([len(x) + 1 for x in parts])
+    return h ^ (h >> np.uint64(29)), np.diff(np.searchsorted(starts, ends), prepend=0)
 
-def words_of(text: bytes) -> list[bytes]:
-    if not text.isascii():
-        text = text.decode("utf-8", "replace").lower().encode()
-    return text.translate(LOWER, PUNCTUATION).split()
+
+def terms_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(7)).astype(np.int64) % TERMS
 
 
-def answer_of(text: bytes) -> list[bytes]:
-    """Words of the last sentence."""
-    parts = [p for p in re.split(rb"[.!?\n]+", text) if words_of(p)]
-    return words_of(parts[-1]) if parts else []
+def answer_of(text: bytes) -> bytes:
+    """The last sentence."""
+    parts = [p for p in re.split(rb"[.!?\n]+", text) if plain(p).split()]
+    return parts[-1] if parts else b""
 
 
 def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
     """Documents that hold each hashed term, and the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, total, n = TermCache(), np.zeros(TERMS, np.int64), 0
+        total, n = np.zeros(TERMS, np.int64), 0
         for batch in batches:
-            for text in common.byte_texts(batch.column(0)):
-                held = set(words_of(text))
-                ids = np.fromiter(map(terms.__getitem__, held), np.int64, len(held))
-                total[ids] += 1
-                n += 1
+            for part in common.slices(common.byte_texts(batch.column(0))):
+                hashes, sizes = hashed_words(part)
+                held = pa.array(np.repeat(np.arange(len(part)) * TERMS, sizes) + terms_of(hashes)).unique().to_numpy()
+                total += np.bincount(held % TERMS, minlength=TERMS)
+                n += len(part)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": np.append(seen, -1), "n": np.append(total[seen], n)})
 
@@ -96,9 +109,9 @@ def term_weights(frequency: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(top - np.log(frequency + 1), 0.3 * top).astype(np.float32)
 
 
-def latent_block(passages: list[list[bytes]], weight: np.ndarray, kept: float = KEPT, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def latent_block(passages: list[np.ndarray], weight: np.ndarray, kept: float = KEPT, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(terms, directions [term, k], unit passages [passage, k]) of one block by randomised SVD."""
-    hashed = [np.array([zlib.crc32(w) % TERMS for w in p], np.int64) for p in passages]
+    hashed = [terms_of(p) for p in passages]
     terms = np.unique(np.concatenate(hashed))
     a = np.zeros((len(passages), len(terms)))
     for i, ids in enumerate(hashed):
@@ -122,7 +135,8 @@ def latent_block(passages: list[list[bytes]], weight: np.ndarray, kept: float =
 
 
 def blocks(benchmark: DataFrame, weight: np.ndarray, answer_col: str | None = None) -> DataFrame:
-    """One pickled block per row: passages with item ids and answers, and their latent space."""
+    """One pickled block per row: item ids, words and answers of its passages, its terms, and what each
+    term adds to the latent product with each passage (weight times directions times latent passages)."""
     spark = benchmark.sparkSession
     shared = spark.sparkContext.broadcast(weight)
 
@@ -131,21 +145,22 @@ def blocks(benchmark: DataFrame, weight: np.ndarray, answer_col: str | None = No
             out = []
             answers = common.byte_texts(batch.column(2))
             for item, text, answer in zip(batch.column(0).to_pylist(), common.byte_texts(batch.column(1)), answers, strict=True):
-                words = words_of(text)
-                close = words_of(answer) or answer_of(text)
+                words = hashed_words([text])[0]
+                close = hashed_words([answer if plain(answer).split() else answer_of(text)])[0].tobytes()
                 for k in range(0, max(1, len(words) - ITEM_STEP), ITEM_STEP):
                     part = words[k:k + ITEM_WORDS]
-                    if part:
-                        out.append((item, k, b" ".join(part), b" ".join(close)))
+                    if len(part):
+                        out.append((item, k, part.tobytes(), close))
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
                 names=["item_id", "k", "passage", "answer"])
 
     def fit(group: pa.Table) -> pa.Table:
-        passages = [p.split() for p in group.column("passage").to_pylist()]
-        latent = latent_block(passages, shared.value)
-        held = (group.column("item_id").to_pylist(), passages, [x.split() for x in group.column("answer").to_pylist()], *latent)
+        passages, answers = ([np.frombuffer(p, np.uint64) for p in group.column(c).to_pylist()] for c in ("passage", "answer"))
+        terms, directions, items = latent_block(passages, shared.value)
+        held = (group.column("item_id").to_pylist(), [p.tolist() for p in passages], [x.tolist() for x in answers],
+                terms, np.vstack([(directions @ items.T) * shared.value[terms][:, None], np.zeros((1, len(items)), np.float32)]))
         return pa.table({"block": [pickle.dumps(held)]})
 
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
@@ -156,9 +171,9 @@ def blocks(benchmark: DataFrame, weight: np.ndarray, answer_col: str | None = No
     return session.cut_lineage(dealt.groupBy("b").applyInArrow(fit, "block binary"))
 
 
-def common_length(a: list[bytes], b: list[bytes]) -> int:
+def common_length(a: list, b: list) -> int:
     """Length of the longest common subsequence, one machine step per word of ``b``."""
-    place: dict[bytes, int] = {}
+    place: dict = {}
     for i, word in enumerate(a):
         place[word] = place.get(word, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -170,42 +185,46 @@ def common_length(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - open_.bit_count()
 
 
-def find(texts: list[bytes], terms: TermCache, weight: np.ndarray, block: tuple, row: np.ndarray, cosine: float,
-         copied: float, close: float) -> list[list[tuple]]:
+def find(texts: list[bytes], weight: np.ndarray, block: tuple, row: np.ndarray, cosine: float, copied: float,
+         close: float) -> list[list[tuple]]:
     """Hits of every text against one block."""
-    items, passages, answers, _, directions, latent = block
-    split = [words_of(t) for t in texts]
-    flat = [w for words in split for w in words]
+    items, passages, answers, _, product = block
     hits: list[dict] = [{} for _ in texts]
-    if not flat:
+    words, sizes = hashed_words(texts)
+    if not len(words):
         return [[] for _ in texts]
-    ids = np.fromiter(map(terms.__getitem__, flat), np.int64, len(flat))
-    square = weight[ids].astype(np.float64) ** 2
-    all_sum = np.concatenate([[0], np.cumsum(square)])
-    own_sum = np.concatenate([[0], np.cumsum(np.where(row[ids] >= 0, square, 0))])
-    sizes = np.array([len(w) for w in split])
+    ids = terms_of(words)
     ends = np.cumsum(sizes)
-    windows = np.maximum(1, -(-(sizes - (WINDOW - STEP)) // STEP)) * (sizes > 0)
-    doc = np.repeat(np.arange(len(texts)), windows)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
+    halves = -(-sizes // STEP)
+    doc = np.repeat(np.arange(len(texts)), halves)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(halves) - halves, halves)
     start = (ends - sizes)[doc] + nth * STEP
-    end = np.minimum(start + WINDOW, ends[doc])
-    norm = all_sum[end] - all_sum[start]
-    for w in np.flatnonzero(own_sum[end] - own_sum[start] >= cosine**2 * norm * (1 - 1e-6)):
-        inside = ids[start[w]:end[w]]
-        inside = inside[row[inside] >= 0]
-        score = latent @ (weight[inside] @ directions[row[inside]]) / np.sqrt(norm[w])
-        d = doc[w]
-        for i in np.flatnonzero(score >= cosine):
-            passage = passages[i]
-            low = max(ends[d] - sizes[d], start[w] - len(passage))
-            region = flat[low:min(ends[d], end[w] + len(passage))]
+    left = ends[doc] - start
+    place = np.append(row[ids], np.full(STEP, len(product) - 1))  # the last row of the product is zero
+    score, taken = np.zeros((len(doc), product.shape[1]), np.float32), np.empty((len(doc), product.shape[1]), np.float32)
+    for k in range(STEP):
+        np.take(product, np.where(k < left, place[start + k], len(product) - 1), axis=0, out=taken, mode="clip")
+        score += taken
+    norm = np.add.reduceat(weight[ids].astype(np.float64) ** 2, start)
+    more = np.flatnonzero(np.append(doc[1:] == doc[:-1], False))  # a half with a successor: windows of two halves
+    score[more], norm[more] = score[more] + score[more + 1], norm[more] + norm[more + 1]
+    flat = words.tolist()
+    for h in np.flatnonzero((score >= cosine * np.sqrt(norm)[:, None]).any(axis=1)):
+        d, a = doc[h], start[h]
+        end = min(a + 2 * STEP, ends[d])
+        terms, count = np.unique(ids[a:end], return_counts=True)
+        near = score[h] / np.linalg.norm(weight[terms] * count)  # repeated terms count in full
+        for i in np.flatnonzero(near >= cosine):
+            passage, wanted = passages[i], answers[i]
+            region = flat[max(ends[d] - sizes[d], a - len(passage)):min(ends[d], end + len(passage))]
+            if sum(map(set(region).__contains__, passage)) < close * len(passage):
+                continue  # the common subsequence has no other words
             lcs = common_length(passage, region) / len(passage)
             if lcs < close:
                 continue
-            answer = common_length(answers[i], region) / len(answers[i]) if answers[i] else 0.0
+            answer = common_length(wanted, region) / len(wanted) if wanted else 0.0
             if lcs >= copied or answer >= copied:
-                new = (items[i], float(score[i]), lcs, answer)
+                new = (items[i], min(1.0, float(near[i])), lcs, answer)
                 if items[i] not in hits[d] or (lcs, new[1]) > (hits[d][items[i]][2], hits[d][items[i]][1]):
                     hits[d][items[i]] = new
     return [[h[k] for k in sorted(h, key=lambda x: (x is None, x))] for h in hits]
@@ -215,12 +234,12 @@ def _finder(shared, shared_weight, cosine: float, copied: float, close: float):
     """The Arrow UDF that finds the hits of one broadcast block."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        block, terms, weights = pickle.loads(shared.value), TermCache(), shared_weight.value
-        row = np.full(TERMS, -1, np.int64)
+        block, weights = pickle.loads(shared.value), shared_weight.value
+        row = np.full(TERMS, len(block[3]), np.int64)
         row[block[3]] = np.arange(len(block[3]))
         for column in batches:
             found = [h for part in common.slices(common.byte_texts(column), STEP_BYTES)
-                     for h in find(part, terms, weights, block, row, cosine, copied, close)]
+                     for h in find(part, weights, block, row, cosine, copied, close)]
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in found])]).astype(np.int32)
             cols = list(zip(*(x for h in found for x in h), strict=True)) or [(), (), (), ()]
             yield pa.ListArray.from_arrays(pa.array(offsets), common.struct_array(
@@ -231,7 +250,7 @@ def _finder(shared, shared_weight, cosine: float, copied: float, close: float):
     return F.arrow_udf(run, T.ArrayType(HIT)).asNondeterministic()
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, copied: float = 0.8, close: float = 0.6,
+def with_hits(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.38, copied: float = 0.8, close: float = 0.6,
               text_col: str = "text", answer_col: str | None = None, name: str = "hits") -> DataFrame:
     """``docs`` with an array of (item_id, cosine, lcs, answer), empty where nothing is found."""
     spark: SparkSession = docs.sparkSession
