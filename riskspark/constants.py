@@ -76,6 +76,8 @@ ERROR_TYPES = ["connection_error", "timeout", "validation_error", "schema_error"
                "not_found", "runtime_error", "circuit_open", "deserialization_error"]
 LATENCY_BUCKETS = [0.25, 0.5, 1.0, 2.5, 5.0, 7.5, 10.0, 15.0, 20.0, 25.0, 50.0, 100.0, 250.0,
                    500.0, 1000.0]
+STAGE_BUCKETS = [0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0]
+END_TO_END = "e2e"
 
 # Sentinels.
 UNKNOWN_DEVICE = "unknown_device"

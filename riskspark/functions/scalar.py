@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark.constants import OTHER_PAYMENT_CODE, PAYMENT_CODES, UNKNOWN_DEVICE
 
@@ -34,6 +34,11 @@ def weekday_of(us: Column) -> Column:
     return F.pmod(F.floor(us / F.lit(86_400_000_000)) + F.lit(3), F.lit(7)).cast("int")
 
 
+def given(df: DataFrame, name: str, derived: Column) -> Column:
+    """The row's own whole-number value where the table has one, else the derived value."""
+    return F.coalesce(F.col(name).cast("int"), derived) if name in df.columns else derived
+
+
 def is_weekend(weekday: Column) -> Column:
     return (weekday >= 5).cast("int")
 

@@ -30,6 +30,15 @@ def file_row_number(df: DataFrame, name: str = "row_number") -> DataFrame:
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join whose keys may be null on both sides; the left side's keys stay."""
+    named = right.withColumnsRenamed({k: f"_null_safe_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(named[f"_null_safe_{k}"])
+    return left.join(named, on, how).drop(*[f"_null_safe_{k}" for k in keys])
+
+
 def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column],
                    group: list[str] | None = None) -> DataFrame:
     """Add inclusive running sums in ``order`` (unique within a group), per ``group``.
@@ -46,7 +55,7 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]
     over = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(*keys, *[F.coalesce(F.sum(f"_t_{n}").over(over), F.lit(0)).alias(f"_t_{n}") for n in totals])
     local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = fixed.withColumns({n: F.sum(c).over(local) for n, c in totals.items()}).join(carried, keys)
+    out = join_null_safe(fixed.withColumns({n: F.sum(c).over(local) for n, c in totals.items()}), carried, keys)
     return out.withColumns({n: F.col(n) + F.col(f"_t_{n}") for n in totals}).drop(
         "_pid", *[f"_t_{n}" for n in totals])
 
@@ -87,7 +96,7 @@ def order_statistics(df: DataFrame, value: str, ranks: DataFrame, group: list[st
     distinct = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_cnt"))
     run = running_totals(distinct, [F.col(value)], {"_upto": F.col("_cnt")}, group)
     return (
-        run.join(broadcast_if_small(ranks), group)
+        join_null_safe(run, broadcast_if_small(ranks), group)
         .where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_cnt")))
         .select(*group, "rank", F.col(value).alias("value"))
     )
@@ -102,6 +111,6 @@ def quantiles(df: DataFrame, value: str, probs: list[float], group: list[str]) -
     ranks = want.select(*group, F.explode(F.array("_lo", "_hi")).alias("rank")).distinct()
     found = cut_lineage(order_statistics(df, value, ranks, group))  # two ranks per quantile
     at = lambda r, name: found.withColumnRenamed("rank", r).withColumnRenamed("value", name)
-    out = want.join(at("_lo", "_a"), [*group, "_lo"]).join(at("_hi", "_b"), [*group, "_hi"])
+    out = join_null_safe(join_null_safe(want, at("_lo", "_a"), [*group, "_lo"]), at("_hi", "_b"), [*group, "_hi"])
     frac = F.col("_h") - F.col("_lo")
     return out.select(*group, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias("value"))

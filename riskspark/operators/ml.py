@@ -96,21 +96,26 @@ def tune(train: DataFrame, val: DataFrame, grid: dict[str, list], build) -> Data
 # --- imbalance -------------------------------------------------------------------------
 
 def oversample_pairs(df: DataFrame, features: list[str], label: str = "label", key: str = "transaction_id",
-                     limit: int = 5000, seed: int = 42) -> DataFrame:
-    """Synthetic positives between two hash-chosen positives; at most ``limit`` rows."""
+                     limit: int | None = None, seed: int = 42) -> DataFrame:
+    """All rows and two synthetic positives per positive, each between two hash-chosen positives.
+
+    ``limit`` (none unless given) bounds the synthetic rows. Draws are md5 of seed, draw and
+    number, so that they are the same on every engine.
+    """
     pos = global_row_number(df.where(F.col(label) == 1).select(key, *features), [F.col(key)])
     pos = pos.select(F.col("rn"), F.struct(*features).alias("v"))
     n = df.where(F.col(label) == 1).count()
     if n < 2:
-        return df.limit(0).select(*features, label)
-    draw = lambda s: F.pmod(F.xxhash64(F.lit(seed), F.lit(s), F.col("id")), F.lit(n)) + 1
-    lam = F.lit(0.1) + F.pmod(F.xxhash64(F.lit(seed), F.lit(3), F.col("id")), F.lit(1_000_000)) / F.lit(1_250_000.0)
-    want = F.broadcast(df.sparkSession.range(min(2 * n, limit)).select(
-        "id", draw(1).alias("i"), draw(2).alias("j"), lam.alias("lam")))
+        return df.select(*features, label)
+    hashed = lambda s: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(s), F.col("id"))), 1, 8), 16, 10).cast("bigint")
+    draw = lambda s: hashed(s) % n + 1
+    lam = F.lit(0.1) + hashed(3) % 1_000_000 / F.lit(1_250_000.0)
+    want = df.sparkSession.range(2 * n if limit is None else min(2 * n, limit)).select(
+        "id", draw(1).alias("i"), draw(2).alias("j"), lam.alias("lam"))
     a = want.join(pos, F.col("i") == F.col("rn")).select("id", "j", "lam", F.col("v").alias("a"))
-    b = F.broadcast(a).join(pos, F.col("j") == F.col("rn")).select("lam", "a", F.col("v").alias("b"))
+    b = a.join(pos, F.col("j") == F.col("rn")).select("lam", "a", F.col("v").alias("b"))
     mixed = [(F.col(f"a.{f}") + F.col("lam") * (F.col(f"b.{f}") - F.col(f"a.{f}"))).alias(f) for f in features]
-    return b.select(*mixed, F.lit(1).alias(label))
+    return df.select(*features, label).unionByName(b.select(*mixed, F.lit(1).alias(label)))
 
 
 # --- isolation forest ------------------------------------------------------------------
@@ -131,7 +136,7 @@ class IsolationForest:
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
-            rows = np.array(x.tolist(), dtype=np.float64)
+            rows = np.stack(x.to_numpy()).astype(np.float64) if len(x) else np.zeros((0, 1))
             depth = np.zeros(len(rows))
             for tree in shared.value:
                 at = np.zeros(len(rows), dtype=np.int64)
@@ -234,10 +239,13 @@ def _clipped(p: Column) -> Column:
     return F.least(F.greatest(p, F.lit(EPS)), F.lit(1.0 - EPS))
 
 
-def fit_calibration(scored: DataFrame, method: str, raw: str = "p", label: str = "label") -> Calibration:
-    """Platt (logistic on the logit) or isotonic, on scores grouped to six decimals: at most
-    a million weighted points reach the optimiser, however many rows there are."""
-    grid = F.round(_clipped(F.col(raw)), 6)
+def fit_calibration(scored: DataFrame, method: str, raw: str = "p", label: str = "label", digits: int | None = None) -> Calibration:
+    """Platt (logistic on the logit) or isotonic, on weighted distinct scores.
+
+    ``digits`` rounds the scores first; none unless given. Isotonic regression pools all distinct
+    points on the driver in its last step, so give it 6 digits (a million points) on a large table.
+    """
+    grid = _clipped(F.col(raw)) if digits is None else F.round(_clipped(F.col(raw)), digits)
     points = scored.groupBy(_clipped(grid).alias("_p"), F.col(label).cast("double").alias("label")).agg(
         F.count(F.lit(1)).cast("double").alias("w"))
     if method == "isotonic":

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskspark.constants import COMPONENTS, DAY, ERROR_TYPES, LATENCY_BUCKETS
+from riskspark.constants import COMPONENTS, DAY, END_TO_END, ERROR_TYPES, LATENCY_BUCKETS, STAGE_BUCKETS
 from riskspark.functions.scalar import rnd
-from riskspark.operators.distsort import quantiles
+from riskspark.operators.distsort import join_null_safe, quantiles
 
 LABEL_DELAY = 14 * DAY
 
@@ -16,9 +16,10 @@ def mature_labels(labels: DataFrame, as_of_us: int) -> DataFrame:
     return labels.withColumn("state", F.when(F.col("reported_us") <= as_of_us, "matured").otherwise("pending"))
 
 
-def replay(tx: DataFrame, score, cap: int, order: str = "us", tie: str = "transaction_id") -> DataFrame:
-    """The first ``cap`` events in time order, scored by ``score`` (frame to frame)."""
-    return score(tx.orderBy(order, tie).limit(cap))
+def replay(tx: DataFrame, score, cap: int | None = None, order: str = "us", tie: str = "transaction_id") -> DataFrame:
+    """All events in time order, or only the first ``cap``, scored by ``score`` (frame to frame)."""
+    ordered = tx.orderBy(order, tie)
+    return score(ordered if cap is None else ordered.limit(cap))
 
 
 def scenario_summary(replayed: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def latency_summary(df: DataFrame, exact: bool = True) -> DataFrame:
         return basic
     q = quantiles(df.select("stage", v.alias("latency")), "latency", [0.5, 0.95, 0.99], ["stage"])
     at = lambda p, n: rnd(F.max(F.when(F.col("prob") == p, F.col("value"))), 3).alias(n)
-    return basic.join(q.groupBy("stage").agg(at(0.5, "p50"), at(0.95, "p95"), at(0.99, "p99")), "stage")
+    return join_null_safe(basic, q.groupBy("stage").agg(at(0.5, "p50"), at(0.95, "p95"), at(0.99, "p99")), ["stage"])
 
 
 def bucket_of(value: Column, bounds: list[float] = LATENCY_BUCKETS) -> Column:
@@ -67,8 +68,10 @@ def bucket_of(value: Column, bounds: list[float] = LATENCY_BUCKETS) -> Column:
 
 
 def latency_histogram(df: DataFrame) -> DataFrame:
+    """End-to-end latency has its own bounds; every other stage the finer ones."""
     v = F.greatest(F.lit(0.0), F.col("latency").cast("double"))
-    return df.groupBy("stage", bucket_of(v).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.when(F.col("stage") == END_TO_END, bucket_of(v)).otherwise(bucket_of(v, STAGE_BUCKETS))
+    return df.groupBy("stage", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def lag_trend(samples: DataFrame, group: str = "partition") -> DataFrame:

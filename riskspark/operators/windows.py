@@ -50,7 +50,7 @@ def arrivals(df: DataFrame) -> DataFrame:
 def _keyed(tx: DataFrame) -> DataFrame:
     return tx.withColumns({
         "_cents": (F.col("amount") * 100).cast("bigint"),
-        "_hour": S.hour_of(F.col("us")),
+        "_hour": S.given(tx, "hour_of_day", S.hour_of(F.col("us"))),
         "_cat": F.lower(F.coalesce("category", F.lit(""))),
         "_dev": F.trim(F.coalesce("device_id", F.lit(""))),
     })

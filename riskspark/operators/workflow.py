@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark.constants import DAY, EVENT_SEVERITY, MANDATE_INTERVAL_S, SECOND
@@ -12,6 +14,7 @@ from riskspark.session import cut_lineage
 HOUR = 3600 * SECOND
 HOLD_TTL = 300 * SECOND
 DEVICE_EVENTS = ("new_device_registration", "device_change")
+FOLLOWED = "Password reset immediately followed by new device registration (<1h)"
 
 
 # --- account takeover ------------------------------------------------------------------
@@ -71,11 +74,11 @@ def ato_score(state: DataFrame) -> DataFrame:
         + F.when((n("mfa_reset") > 0) & (n("profile_update") > 0), 30).otherwise(0)
         + F.when(n("credential_stuffing_attempt") > 0, 40).otherwise(0))
     p = F.col("_points")
-    # The indicator sentences.
+    # The indicator sentences; FOLLOWED once per password change.
     said = F.array_compact(F.array(
         F.when(F.col("events_24h") >= 3, F.concat(
             F.lit("Rapid security event cluster ("), F.col("events_24h").cast("string"), F.lit(" events in 24h)"))),
-        F.when(n("followed") > 0, "Password reset immediately followed by new device registration (<1h)"),
+        F.when(n("followed") > 0, F.array_join(F.array_repeat(F.lit(FOLLOWED), n("followed").cast("int")), "\n")),
         F.when((n("mfa_reset") > 0) & (n("profile_update") > 0),
                "MFA reset accompanied by contact profile modification"),
         F.when(n("credential_stuffing_attempt") > 0,
@@ -88,7 +91,7 @@ def ato_score(state: DataFrame) -> DataFrame:
             "ato_action": F.when(p >= 80, "SUSPEND_ACCOUNT").when(p >= 50, "TRIGGER_HOLD")
             .when(p >= 25, "CHALLENGE_MFA").otherwise("ALLOW"),
             "ato_level": F.when(p >= 80, "CRITICAL").when(p >= 50, "HIGH").when(p >= 25, "MEDIUM").otherwise("LOW"),
-            "requires_hold": p >= 50, "indicators": said, "password_then_device": n("followed"),
+            "requires_hold": p >= 50, "indicators": F.flatten(F.transform(said, lambda x: F.split(x, "\n"))), "password_then_device": n("followed"),
         }).drop("_points", *[f"n_{k}" for k in (*kinds, "followed")])
     )
 
@@ -221,8 +224,8 @@ def mandate_lifecycle(commands: DataFrame, limits: Limits = DEFAULT) -> DataFram
 def hmac_sha256(secret: str, message: Column) -> Column:
     """Keyed hash as two nested hashes over constant pads (RFC 2104)."""
     key = secret.encode("utf-8")
-    if len(key) > 64:
-        raise ValueError("secret longer than one block")
+    if len(key) > 64:  # longer than one block: its hash is the key
+        key = hashlib.sha256(key).digest()
     key = key.ljust(64, b"\0")
     inner, outer = bytes(b ^ 0x36 for b in key).hex(), bytes(b ^ 0x5C for b in key).hex()
     first = F.sha2(F.concat(F.unhex(F.lit(inner)), F.encode(message, "UTF-8")), 256)

@@ -33,7 +33,7 @@ def category_code(df: DataFrame, frequency: DataFrame) -> DataFrame:
 
 def static_columns(df: DataFrame) -> DataFrame:
     amount, us = F.col("amount"), F.col("us")
-    hour, weekday = S.hour_of(us), S.weekday_of(us)
+    hour, weekday = S.given(df, "hour_of_day", S.hour_of(us)), S.given(df, "day_of_week", S.weekday_of(us))
     out = {
         "log_amount": S.log_amount(amount),
         "payment_type_enc": S.payment_code(F.coalesce("payment_type", F.lit("TRANSFER"))),

@@ -8,11 +8,12 @@ from riskspark.functions import scalar as S
 from riskspark.operators import drift as D
 from riskspark.operators import evaluate as E
 from riskspark.operators import ops as O
-from riskspark.operators.distsort import rank_threshold
+from riskspark.operators.distsort import global_row_number, rank_threshold
 from riskspark.plans import features as P
 from riskspark.plans.q_sources import _decisions
 from riskspark.plans.query import register
 from riskspark.plans.views import challenger, keyed_events, message_log, scored, stage_latency, transactions, tx_labels
+from riskspark.session import broadcast_if_small
 
 QUERIES: dict = {}
 
@@ -31,10 +32,10 @@ def split_summary(spark, sf_dir):
 @register(QUERIES, "split_stratified")
 def split_stratified(spark, sf_dir):
     """With the ordinal code of the payment type in alphabetical order."""
-    tx = E.split_stratified(transactions(spark, sf_dir))
-    kinds = [r[0] for r in tx.select("payment_type").distinct().orderBy("payment_type").limit(1000).collect()]  # rail names
-    code = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("payment_type")) - 1
-    return tx.select("transaction_id", "split", code.cast("int").alias("type_code"))
+    tx = transactions(spark, sf_dir)
+    kinds = global_row_number(tx.select("payment_type").where("payment_type is not null").distinct(), [F.col("payment_type")], "_code")
+    return E.split_stratified(tx).join(broadcast_if_small(kinds), "payment_type", "left").select(
+        "transaction_id", "split", (F.col("_code") - 1).cast("int").alias("type_code"))
 
 
 @register(QUERIES, "features_32_by_split")
@@ -164,7 +165,7 @@ QUERIES["label_mature"] = lambda spark, sf_dir: O.mature_labels(tx_labels(spark,
 @register(QUERIES, "replay_ordered")
 def replay_ordered(spark, sf_dir):
     tx = _decisions(spark, sf_dir).withColumns({"us": F.col("created_us"), "scenario": F.concat(F.lit("s"), F.col("event_id") % 4)})
-    return O.scenario_summary(O.replay(tx, lambda df: df, cap=2000))
+    return O.scenario_summary(O.replay(tx, lambda df: df))
 
 
 QUERIES["ledger_reconcile"] = lambda spark, sf_dir: O.reconcile(message_log(spark, sf_dir), "event_id")

@@ -64,7 +64,7 @@ def _created(spark, sf_dir):
 def hold_create(spark, sf_dir):
     return _created(spark, sf_dir).select(
         "hold_id", "transaction_id", "customer_id", "created_us", "expires_us", "status",
-        F.length("token_hash").alias("hash_length"))
+        "token_hash")
 
 
 def _resolved(spark, sf_dir):

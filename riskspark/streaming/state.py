@@ -204,7 +204,7 @@ def history_stream(tx: DataFrame, lateness_us: int | None = None,
     n = F.lit(1) if lanes is None else lanes
     narrow = tx.select(
         "transaction_id", "customer_id", "us", (F.col("amount") * 100).cast("bigint").alias("cents"),
-        S.hour_of(F.col("us")).alias("hour"), F.lower(F.coalesce("category", F.lit(""))).alias("cat"),
+        S.given(tx, "hour_of_day", S.hour_of(F.col("us"))).alias("hour"), F.lower(F.coalesce("category", F.lit(""))).alias("cat"),
         F.trim(F.coalesce("device_id", F.lit(""))).alias("dev"), F.col("latitude").alias("lat"),
         F.col("longitude").alias("lon"), F.to_json(F.struct(*tx.columns)).alias("payload"),
         F.explode(F.sequence(F.lit(0), n - 1)).alias("lane"),
@@ -249,24 +249,38 @@ def finish(raw: DataFrame, tx_schema: T.StructType) -> DataFrame:
 
 
 class DeviceProcessor(StatefulProcessor):
-    """Latest use of one device per customer within 24 hours."""
+    """Uses of one device per customer, kept for 24 hours and the accepted lateness.
+
+    A row counts the customers with a use in the 24 hours before it, so a row that comes late neither
+    sees later uses nor hides them; uses older than a day plus ``lateness`` behind the newest are dropped.
+    """
+
+    def __init__(self, lateness: int = DAY):
+        self.lateness = lateness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.users = handle.getMapState("users", "customer string", "us bigint")
+        self.users = handle.getMapState("users", "customer string", "uses array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True).sort_values("us", kind="stable", ignore_index=True)
-        last = {k[0]: v[0] for k, v in self.users.iterator()} if self.users.exists() else {}
-        had, counts = dict(last), []
-        for t, same in new.groupby("us", sort=True):
-            last = {c: u for c, u in last.items() if u >= t - DAY}
-            counts += [len(last)] * len(same)
-            last |= {c: t for c in same.customer_id[same.member.astype(bool)]}
-        for c in had.keys() - last.keys():
-            self.users.removeKey((c,))
-        for c, u in last.items():
-            if had.get(c) != u:
-                self.users.updateValue((c,), (int(u),))
+        had = {k[0]: [int(u) for u in v[0]] for k, v in self.users.iterator()} if self.users.exists() else {}
+        own = new[new.member.astype(bool)]
+        uses = {c: set(u) for c, u in had.items()}
+        for c, us in zip(own.customer_id, own.us.astype("int64")):
+            uses.setdefault(c, set()).add(int(us))
+        times = {c: np.array(sorted(u), dtype=np.int64) for c, u in uses.items()}
+        at = new.us.to_numpy(dtype=np.int64)
+        counts = np.zeros(len(at), dtype=np.int64)
+        for t in times.values():  # a use in [t - 24 h, t)
+            counts += np.searchsorted(t, at, side="left") > np.searchsorted(t, at - DAY, side="left")
+        floor = max((t[-1] for t in times.values()), default=0) - DAY - self.lateness
+        for c, t in times.items():
+            kept = t[t >= floor].tolist()
+            if not kept:
+                if c in had:
+                    self.users.removeKey((c,))
+            elif kept != had.get(c):
+                self.users.updateValue((c,), (kept,))
         yield pd.DataFrame({"transaction_id": new.transaction_id, "users": counts})
 
     def close(self) -> None:
@@ -356,16 +370,13 @@ class HoldProcessor(StatefulProcessor):
             elif status == "HOLD" and r.us <= expires and r.token_ok:
                 status = "RELEASED" if r.action == "CONFIRM" else "DENIED"
                 out.append((key[0], status))
-        if status is not None:
+        if status is not None:  # a terminal mark stays until the timer, so that later actions do nothing
             self.hold.update((status, expires))
         yield pd.DataFrame(out, columns=["hold_id", "status"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, expires = self.hold.get()
-        out = []
-        if status == "HOLD":
-            self.hold.update(("EXPIRED", expires))
-            out.append((key[0], "EXPIRED"))
+        out = [(key[0], "EXPIRED")] if self.hold.exists() and self.hold.get()[0] == "HOLD" else []
+        self.hold.clear()  # nothing about a hold is kept beyond its window
         yield pd.DataFrame(out, columns=["hold_id", "status"])
 
     def close(self) -> None:

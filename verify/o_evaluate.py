@@ -100,6 +100,14 @@ SQL["thr_cost_curve"] = with_(tx_cte(), SCORED, """c as (select t as threshold,
 select *, threshold = (select threshold from d order by cost, threshold limit 1) as optimal from d"""
 SQL["imb_class_weight"] = with_(tx_cte(), SCORED, "c as (select sum(label) as pos, sum(1 - label) as neg from scored)") + f"""
 select pos, neg, {rnd('neg / cast(pos as double)', 6)} as scale_pos_weight, {rnd('(pos + neg) / (pos * 2.0::double)', 6)} as weight_pos, {rnd('(pos + neg) / (neg * 2.0::double)', 6)} as weight_neg from c"""
+_DRAW = lambda s: f"cast(concat('0x', substr(md5(concat('42:{s}:', id)), 1, 8)) as bigint)"
+SQL["imb_oversample_pairs"] = with_(tx_cte(), f"""src as (select transaction_id, cast(amount as double) as amount, origin_balance, cast(k as double) as k, is_fraud as label from tx),
+pos as (select *, row_number() over (order by transaction_id) as rn, count(*) over () as n from src where label = 1),
+want as (select id, {_DRAW(1)} % n + 1 as i, {_DRAW(2)} % n + 1 as j, {D('0.1')} + {_DRAW(3)} % 1000000 / {D(1250000)} as lam
+  from (select max(n) as n from pos), (select unnest(range(2 * (select count(*) from pos))) as id))""") + """
+select amount, origin_balance, k, label from src
+union all select a.amount + lam * (b.amount - a.amount), a.origin_balance + lam * (b.origin_balance - a.origin_balance), a.k + lam * (b.k - a.k), 1
+from want join pos a on i = a.rn join pos b on j = b.rn"""
 SQL["imb_undersample"] = with_(tx_cte(), SCORED) + """
 select transaction_id, label from scored where label = 1 union all select transaction_id, 0 from (select transaction_id, row_number() over (
   order by md5(concat('42:', transaction_id)), transaction_id) as r from scored where label = 0) where r <= 3 * (select sum(label) from scored)"""
@@ -152,7 +160,7 @@ select case when us + 14 * 86400000000 <= 1706200000000000 then 'matured' else '
 SQL["replay_ordered"] = with_(*LIGHT) + """
 select concat('s', event_id % 4) as scenario, count(*) as n, sum(label) as fraud, count(*) filter (decision = 'BLOCK') as blocked,
   count(*) filter (decision = 'REVIEW') as reviewed, count(*) filter (decision = 'APPROVE') as approved
-from (select * from dec order by created_us, transaction_id limit 2000) group by 1"""
+from dec group by 1"""
 SQL["ledger_reconcile"] = f"""with l as (select event_id, case event_id % 50 when 0 then 'failed' when 1 then 'dlq' when 2 then 'pending' when 3 then 'lost' else 'processed' end as s,
   case when event_id % 40 = 0 then 2 else 1 end as c from events where value > 0)
 select sum(c) as total_input, count(*) as unique_input, sum(c) - count(*) as duplicates, count(*) filter (s = 'processed') as processed, count(*) filter (s = 'failed') as failed,
@@ -170,7 +178,10 @@ SQL["latency_summary"] = with_(tx_cte(), STG, RANKS, f"""bs as (select stage, {r
 select bs.*, {rnd("max(v) filter (p = 0.5::double)", 3)} as p50, {rnd("max(v) filter (p = 0.95::double)", 3)} as p95,
   {rnd("max(v) filter (p = 0.99::double)", 3)} as p99 from bs join qq using (stage) group by bs.stage, bs.mean, bs.min, bs.max, bs.count"""
 _b = [0.25, 0.5, 1.0, 2.5, 5.0, 7.5, 10.0, 15.0, 20.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0]
-SQL["latency_histogram"] = with_(tx_cte(), STG) + "select stage, case " + " ".join(f"when latency <= {x} then '{x}'" for x in _b) + " else '+Inf' end as bucket, count(*) as n from stg group by 1, 2"
+_f = [0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0]
+_bucket = lambda bounds: "case " + " ".join(f"when latency <= {x} then '{x}'" for x in bounds) + " else '+Inf' end"
+SQL["latency_histogram"] = with_(tx_cte(), STG) + (
+    f"select stage, case when stage = 'e2e' then {_bucket(_b)} else {_bucket(_f)} end as bucket, count(*) as n from stg group by 1, 2")
 SQL["lag_trend"] = with_(tx_cte(), """s as (select user_id % 20 as partition, arg_min(k % 40, us) as initial_lag, max(k % 40) as max_lag, arg_max(k % 40, us) as final_lag,
   count(*) as samples from tx group by 1)""") + """
 select *, case when final_lag > initial_lag and final_lag > 10 then 'growing' when final_lag < max_lag and final_lag <= 2 then 'drained_to_baseline' else 'stable' end as trend from s"""

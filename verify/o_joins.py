@@ -75,7 +75,7 @@ SQL["ato_score"] = with_(tx_cte(), *ATOS) + "select transaction_id, events_24h,
 SQL["ato_action"] = with_(tx_cte(), *ATOS) + """
 select transaction_id, ato_action, ato_level, requires_hold, concat_ws('|',
   case when events_24h >= 3 then concat('Rapid security event cluster (', events_24h, ' events in 24h)') end,
-  case when followed > 0 then 'Password reset immediately followed by new device registration (<1h)' end,
+  case when followed > 0 then rtrim(repeat('Password reset immediately followed by new device registration (<1h)|', cast(followed as bigint)), '|') end,
   case when n_mfa_reset > 0 and n_profile_update > 0 then 'MFA reset accompanied by contact profile modification' end,
   case when n_credential_stuffing_attempt > 0 then 'Prior credential stuffing / automated brute force detected' end) as indicators from ato2"""
 _g = """case when ato_action = 'SUSPEND_ACCOUNT' then concat('Account suspended due to critical ATO risk (', pts // 100, '.', lpad(cast(pts % 100 as varchar), 2, '0'), ')')
@@ -122,8 +122,11 @@ SQL["hold_notifications"] = with_(tx_cte(), HOLD) + """
 select concat_ws('_', 'notif', customer_id, created_us // 1000) as notification_id, customer_id, 'PUSH' as channel,
   concat('Was this you? Transaction #', transaction_id, ' for $', amount, ' is pending your approval.') as message,
   concat('https://security.example/hold/', hold_id) as action_url from hold"""
-SQL["hold_create"] = with_(tx_cte(), HOLD) + """
-select hold_id, transaction_id, customer_id, created_us, created_us + 300000000 as expires_us, 'HOLD' as status, 64 as hash_length from hold"""
+_KEY = b"fixture-secret".ljust(64, b"\0")
+INNER, OUTER = (bytes(b ^ pad for b in _KEY).hex() for pad in (0x36, 0x5C))
+SQL["hold_create"] = with_(tx_cte(), HOLD) + f"""
+select hold_id, transaction_id, customer_id, created_us, created_us + 300000000 as expires_us, 'HOLD' as status,
+  sha256(substr(sha256(unhex('{OUTER}') || unhex(sha256(unhex('{INNER}') || encode(concat(hold_id, ':', transaction_id))))), 1, 32)) as token_hash from hold"""
 MAN = """man as (select concat('man', c_custkey) as mandate_id, cast(500 + c_custkey % 1500 as decimal(18,2)) as max_amount,
   case c_custkey % 4 when 0 then 'DAILY' when 1 then 'WEEKLY' when 2 then 'MONTHLY' else 'ONCE' end as frequency,
   case c_custkey % 4 when 0 then 82080000000 when 1 then 574560000000 when 2 then 2462400000000 else 0 end as gap,
