@@ -67,9 +67,10 @@ def sink_decision_topics(spark, sf_dir):
 
 
 def _upsert(spark, label, settings, batches):
+    """Batches of unique keys, one after the other."""
     log = K.KeyedLog(spark, work_path(spark, label), **settings)
     for i, b in enumerate(batches):
-        log.append(b, i)
+        log.append(b.withColumn("_one", F.lit(0)), i, "_one")
     return log.snapshot()
 
 

@@ -85,9 +85,9 @@ def test_drift_stable_and_shifted(spark):
 def test_keyed_log(spark):
     log = KeyedLog(spark, work_path(spark, "log"), "id", update=["status"], coalesce=["label"])
     row = lambda i, s, st, l: spark.createDataFrame([(i, s, st, l)], "id string, score double, status string, label int")
-    log.append(row("a", 1.0, "NEW", 1), 0)
-    log.append(row("a", 2.0, "DONE", None), 1)
-    log.append(row("a", 2.0, "DONE", None), 1)  # a repeated batch replaces itself
+    log.append(row("a", 1.0, "NEW", 1), 0, "score")
+    log.append(row("a", 2.0, "DONE", None).unionByName(row("a", 1.5, "BUSY", None)), 1, "score")
+    log.append(row("a", 2.0, "DONE", None).unionByName(row("a", 1.5, "BUSY", None)), 1, "score")  # a repeated batch replaces itself
     got = log.snapshot().collect()
     assert len(got) == 1 and (got[0].score, got[0].status, got[0].label) == (1.0, "DONE", 1)
     again = log.compact(work_path(spark, "compact")).snapshot().collect()
