@@ -228,6 +228,10 @@ def _cell(degrees: Column) -> Column:
     return F.floor(degrees / F.lit(CELL_DEG)).cast("int")
 
 
+def _month(us: Column) -> Column:
+    return F.floor(us / F.lit(MONTH))
+
+
 def new_location(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "customer_id",
                  counted: Census | None = None) -> DataFrame:
     """Ids of located rows that are more than 50 km from every prior 30-day place.
@@ -269,14 +273,16 @@ def new_location(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "customer
                        F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"),
                        "_row", "_col", reach.alias("_reach"))
         .withColumn("_row", F.explode(F.sequence(F.col("_row") - 3, F.col("_row") + 3)))
+        .withColumn("_month", F.explode(F.array(_month(F.col("_t")), _month(F.col("_t")) - 1)))
         .withColumn("_col", F.explode(F.array_distinct(F.transform(
             F.sequence(F.col("_col") - F.col("_reach"), F.col("_col") + F.col("_reach")),
             lambda c: F.pmod(c, F.lit(wrap))))))
     )
-    places = placed.withColumn("_col", F.pmod(F.col("_col"), F.lit(wrap)))
+    # a probe meets only its own 30 days and the ones before, not a hot customer's whole history
+    places = placed.withColumns({"_col": F.pmod(F.col("_col"), F.lit(wrap)), "_month": _month(F.col("us"))})
     near = (
-        probes.join(places.select(scope, "us", "latitude", "longitude", "_row", "_col"),
-                    [scope, "_row", "_col"])
+        probes.join(places.select(scope, "us", "latitude", "longitude", "_row", "_col", "_month"),
+                    [scope, "_row", "_col", "_month"])
         .where("us < _t and us >= _t - %d" % MONTH)
         .where(S.haversine_km(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude"))
                <= NEAR_KM)

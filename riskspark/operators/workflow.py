@@ -147,7 +147,7 @@ def execute_mandates(attempts: DataFrame, mandates: DataFrame, limits: Limits =
 def _cadence(candidates: DataFrame, limits: Limits) -> DataFrame:
     """The greedy choice: each accepted attempt is at least ``_gap`` after the last one."""
     first = candidates.groupBy("mandate_id", "us", "_gap").agg(F.min("attempt_id").alias("attempt_id"))
-    counted = census(first, {"mandate_id": F.col("mandate_id")}, limits=Limits(limits.light * 50, limits.hot))
+    counted = census(first, {"mandate_id": F.col("mandate_id")}, limits=limits)
     n_hot = counted.busy.get("mandate_id", 0)
     if n_hot == 0:
         return _fold(first)
