@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from riskspark.llm import common
 
-CACHED = 400_000
+CACHED = 150_000
 SPACE = "▁"
 DIGEST = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
@@ -195,11 +195,14 @@ def _texts(column: pa.Array) -> Iterator[list[str]]:
         yield [t.decode() for t in part]
 
 
-def _udf(fn, schema):
+def _udf(fn, schema, path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            parts = [fn(t) for t in _texts(column)]
-            yield pa.concat_arrays(parts) if parts else fn([])
+        try:
+            for column in batches:
+                parts = [fn(t) for t in _texts(column)]
+                yield pa.concat_arrays(parts) if parts else fn([])
+        finally:  # workers are used again for other stages; they keep the model, not the segments
+            load(path).cache = {}
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, schema).asNondeterministic()
@@ -215,7 +218,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
         flat = [np.concatenate([np.asarray(r[k], np.int32) for r in rows]) if rows else np.zeros(0, np.int32) for k in range(3)]
         return common.struct_array(**{n: pa.ListArray.from_arrays(offsets, pa.array(f)) for n, f in zip(PIECES.names, flat, strict=True)})
 
-    return common.add_fields(docs, _udf(run, PIECES)(F.col(text_col)), PIECES.names)
+    return common.add_fields(docs, _udf(run, PIECES, path)(F.col(text_col)), PIECES.names)
 
 
 def decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
@@ -240,4 +243,4 @@ def digest(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
         n, ids, decoded = load(path).digests(texts)
         return common.struct_array(n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids, pa.string()), decoded_sha256=pa.array(decoded, pa.string()))
 
-    return common.add_fields(docs, _udf(run, DIGEST)(F.col(text_col)), DIGEST.names)
+    return common.add_fields(docs, _udf(run, DIGEST, path)(F.col(text_col)), DIGEST.names)
