@@ -197,3 +197,53 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: flo
         id_col, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_random"))
+
+
+def oracle() -> str:
+    """The scan as SQL: matches as rows, the battery as sums over their characters."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    fits = " ".join(f"when regexp_matches(v, {text(p)}) then {{}}" for _, p, _ in ENCODINGS)
+    alphabet, size = (f"case {fits.format(*x)} end" for x in (
+        [text(a) for _, _, a in ENCODINGS], [f"{len(a)}::double" for _, _, a in ENCODINGS]))
+    found = lambda k, pattern, group, least: f"""
+m{k} as (select rid, regexp_extract_all(t, {text(pattern)}, 0) as w, regexp_extract_all(t, {text(pattern)}, {group}) as p,
+  string_split_regex(t, {text(pattern)}) as g from d where regexp_matches(t, {text(pattern)})),
+u{k} as (select rid, unnest(range(1, len(w) + 1)) as i, unnest(w) as w, unnest(p) as p, unnest(g[1:len(w)]) as g from m{k}),
+s{k} as (select rid, {k} as kind, e - length(w) as s, e, p as v from (
+  select *, sum(length(g) + length(w)) over (partition by rid order by i) as e from u{k}) where length(p) >= {least})"""
+    rules = [*BASE, (RUN, 0, LEAST)]
+    model = ", ".join(f"({text(c)}, {v!r}::double)" for c, v in text_model().items())
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+{",".join(found(k, *rule) for k, rule in enumerate(rules))},
+base as (select * from s0 union all select * from s1 union all select * from s2),
+free as (select row_number() over () as c, *, length(v)::double as n, {alphabet} as alphabet, {size} as size from s3
+  where not exists (select 1 from base where base.rid = s3.rid and base.s < s3.e and s3.s < base.e)),
+model as (select * from (values {model}) x(ch, logp)),
+chars as (select c, alphabet, size, regexp_matches(v, '[a-z]') as mixed, unnest(range(1, length(v) + 1)) as i, unnest(string_split(v, '')) as ch from free),
+likely as (select c, -sum(logp) as gain from chars join model on model.ch = case when mixed then chars.ch else lower(chars.ch) end group by c),
+even as (select c, sum(k * k)::double as squares from (select c, ch, count(*) as k from chars group by c, ch) group by c),
+coded as (select c, size, i, (instr(alphabet, ch) - 1)::double as v, lag((instr(alphabet, ch) - 1)::double) over (partition by c order by i) as l from chars),
+sums as (select c, sum(v) as total, sum(v * v) as square, coalesce(sum(l * v), 0) as product, sum(case when v >= size / 2 then 1 else 0 end)::double as high,
+  coalesce(sum(case when (l >= size / 2) <> (v >= size / 2) then 1 else 0 end), 0)::double as turns, arg_min(v, i) as first, arg_max(v, i) as last from coded group by c),
+facts as (select free.*, gain - n * ln(size) as ratio, size / n * squares - n as chi, 2 * high * (n - high) / n + 1 as mean, turns, total, square,
+    square - n * (total / n) * (total / n) as spread,
+    product - total / n * (2 * total - first - last) + (n - 1) * (total / n) * (total / n) as lagged
+  from free join likely using (c) join even using (c) join sums using (c)),
+tested as (select *, cast(least({BANDS - 1}, floor(2 * log2(n / {LEAST}))) as int) as band,
+    cast(greatest(0, least({BINS - 1}, floor(4 * ratio / ln(10)))) as int) as bin,
+    (pow(greatest(chi, 0) / (size - 1), 1 / 3::double) - (1 - 2 / (9 * (size - 1)))) / sqrt(2 / (9 * (size - 1))) <= {ALPHA_CHI}
+    and case when (mean - 1) * (mean - 2) > 0 then abs(turns + 1 - mean) / sqrt((mean - 1) * (mean - 2) / (n - 1)) else 99 end <= {ALPHA_Z}
+    and case when spread > 0 then abs(lagged / spread + 1 / n) * sqrt(n) else 99 end <= {ALPHA_Z} as random from facts),
+bins as (select band, bin, count(*) as k from tested group by band, bin),
+tails as (select band, bin, sum(k) over (partition by band order by bin desc) as above, sum(k) over (partition by band) as total from bins),
+bounds as (select band, min(bin) as bound from tails where pow(10, -bin / 4::double) <= {Q} * above / total group by band),
+chosen as (select rid, kind, s, e from base union all
+  select rid, 3, s, e from tested join bounds using (band) where random and bin >= bound),
+told as (select rid, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+    count(*) filter (kind = 3) as n_random,
+    coalesce(string_agg(concat([{", ".join(text(k) for k in KINDS)}][kind + 1], ':', s, ':', e), ',' order by s, kind, e) filter (kind < 3), '') as base,
+    string_agg(concat([{", ".join(text(k) for k in KINDS)}][kind + 1], ':', s, ':', e), ',' order by s, kind, e) as spans from chosen group by rid)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_random, 0) as n_random from d left join told using (rid)
+"""

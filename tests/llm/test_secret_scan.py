@@ -3,6 +3,8 @@ import hashlib
 import random
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 
 from riskspark.llm import queries, secret_scan as ss
@@ -52,6 +54,23 @@ def test_battery_finds_random_runs_only(spark):
     assert next(r for r in got if r.n_random).spans.startswith("random:4:")
 
 
+def test_sql_says_the_same(spark):
+    rnd = random.Random(9)
+    keys = [base64.b64encode(rnd.randbytes(rnd.randrange(18, 60))).decode() for _ in range(80)]
+    keys += [rnd.randbytes(rnd.randrange(10, 15)).hex() for _ in range(30)]
+    words = ["".join(rnd.choice(["tion", "the", "er", "ment", "ING", "q"]) for _ in range(rnd.randrange(5, 14))) for _ in range(800)]
+    data = [(i, f"{a} {b}, é {a}", 1, 2) for i, (a, b) in enumerate(zip(words, rnd.choices(keys + words, k=len(words)), strict=True))]
+    data += [(10_000 + i, t, 1, 2) for i, t in enumerate(texts())] + [(None, "token=abcdefgh", 1, 2), (5, data[5][1], 1, 2)]
+    df = spark.createDataFrame(data, SCHEMA)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(str(i), t) for i, t, *_ in data], columns=["doc_id", "text"]))
+    want = sorted(tuple(map(str, r)) for r in con.execute(ss.oracle()).fetchall())
+    columns = [c[0] for c in con.execute(ss.oracle()).description]
+    got = ss.scan(df).select(columns).collect()
+    assert sorted(tuple(map(str, r)) for r in got) == want
+    assert sum(r.n_random for r in got) > 100
+
+
 def test_redaction_and_edge_rows(spark):
     df = spark.createDataFrame([(1, 'é token = "abcdefgh12" AKIA1234567890AB.', 1, 2), (1, None, 1, 2), (None, "", 1, 2), (2, "clean", None, None)], SCHEMA)
     found = ss.with_spans(df)
