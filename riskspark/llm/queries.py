@@ -71,6 +71,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.BASE, "base_failed", "kept", "class_distance", "word_distance")
 
 
+SQL["op10_divergence_rules"] = rules.oracle()
 SQL["op1_secret_scan"] = secret_scan.oracle()
 SQL["op7_chat_format"] = chat.SQL
 SQL["op5_url_vocabulary"] = urls.oracle()

@@ -132,7 +132,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 def judge(docs: DataFrame, refs: dict, text_col: str = "text", class_limit: float = CLASS_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT,
           least: int = LEAST) -> DataFrame:
-    """``docs`` with the base counts, both distances (null where not compared), base_failed and kept."""
+    """``docs`` with the base counts, both distances (six decimals; null where not compared), base_failed and kept."""
 
     def run(texts: list[bytes]) -> pa.Array:
         classes, usual, split = histograms(texts)
@@ -141,9 +141,56 @@ def judge(docs: DataFrame, refs: dict, text_col: str = "text", class_limit: floa
                 for k, h in enumerate((classes, usual))]
         skip = (counts[:, 0] < least) | (not refs)
         return common.struct_array(**{n: counts[:, i] for i, n in enumerate(BASE)},
-                                   class_distance=pa.array(near[0], mask=skip), word_distance=pa.array(near[1], mask=skip))
+                                   class_distance=pa.array(np.floor(near[0] * 1e6 + 0.5) / 1e6, mask=skip),
+                                   word_distance=pa.array(np.floor(near[1] * 1e6 + 0.5) / 1e6, mask=skip))
 
     measured = common.add_fields(docs, common.text_udf(run, SCHEMA)(F.col(text_col)), SCHEMA.names)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     near = F.col("class_distance").isNull() | ((F.col("class_distance") <= class_limit) & (F.col("word_distance") <= word_limit[0] + word_limit[1] / F.sqrt("n_words")))
     return common.add_fields(measured, F.struct(failed.alias("base_failed"), (~failed & near).alias("kept")), ["base_failed", "kept"])
+
+
+def oracle() -> str:
+    """The judgement as SQL: words, windows and histogram bins as rows."""
+    blank, classes = r"[\x20\x09-\x0D]", {
+        "lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "symbol": "[#*$%&|<>]", "stop": r"""[.,;:?''"\-()]""", "white": r"[\x20\x09-\x0D]", "ascii": r"[\x00-\x7F]"}
+    rest = lambda p: "[^" + p[1:]
+    counted = ", ".join(f"length(regexp_replace(t, '{rest(p)}', '', 'g')) as {n}" for n, p in classes.items())
+    langs = ", ".join(f"'{x}'" for x in sorted(USUAL))
+    usual = ", ".join(f"('{w}')" for w in WORDS)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    jsd = lambda name, bins: f"""
+{name}_total as (select rid, sum(k)::double as k from {bins} group by rid),
+{name}_ref as (select lang, bin, sum(k)::double as k from {bins} join d using (rid) where lang in ({langs}) group by lang, bin),
+{name}_ref_total as (select lang, sum(k) as k from {name}_ref group by lang),
+{name}_pair as (select x.rid, r.lang, coalesce(x.k, 0) / greatest(x.total, 1) as p, r.k / r.total as q
+  from (select b.rid, b.bin, b.k, t.k as total from {bins} b join {name}_total t using (rid)) x
+  join (select lang, bin, f.k, g.k as total from {name}_ref f join {name}_ref_total g using (lang) where g.k > 0) r using (bin)),
+{name} as (select rid, min(distance) as distance from (
+  select rid, lang, sqrt(least(1, greatest(0, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end
+    + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2))) as distance from {name}_pair group by rid, lang) group by rid)"""
+    return f"""
+with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t from documents),
+cut as (select rid, t, list_filter(string_split_regex(t, '{blank}+'), lambda x: x <> '') as words,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines, strlen(t) as bytes, {counted} from d),
+windows as (select rid, unnest(range(1, len(words) - 3)) as i, words from cut where len(words) > 5),
+twice as (select rid, i from (select rid, i, count(*) over (partition by rid, words[i:i + 4]) as k from windows) where k > 1),
+marked as (select rid, count(distinct i + x.step) as n from twice, (select unnest(range(5)) as step) x group by rid),
+class_bins as (select rid, unnest(['other', 'lower', 'upper', 'digit', 'symbol', 'stop', 'wide', 'white']) as bin,
+  unnest([ascii - lower - upper - digit - symbol - stop - white, lower, upper, digit, symbol, stop, bytes - ascii, white]) as k from cut),
+said as (select rid, translate(unnest(words), '{upper}', '{lower}') as word from cut),
+usual as (select * from (values {usual}, (' ')) v(bin)),
+held as (select rid, case when word in (select bin from usual) then word else ' ' end as bin, count(*) as k from said group by 1, 2),
+word_bins as (select d.rid, usual.bin, coalesce(held.k, 0) as k from d cross join usual left join held on held.rid = d.rid and held.bin = usual.bin),
+{jsd("near_class", "class_bins")},
+{jsd("near_word", "word_bins")},
+base as (select cut.rid, doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as word_chars, symbol as n_symbols,
+  len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(marked.n, 0) as n_repeat_words from cut join d using (rid) left join marked using (rid)),
+judged as (select base.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  case when n_words >= {LEAST} then floor(near_class.distance * 1e6 + 0.5) / 1e6 end as class_distance,
+  case when n_words >= {LEAST} then floor(near_word.distance * 1e6 + 0.5) / 1e6 end as word_distance
+  from base left join near_class using (rid) left join near_word using (rid))
+select doc_id, n_words, cast(word_chars as bigint) as word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
+  not base_failed and (class_distance is null or (class_distance <= {CLASS_LIMIT} and word_distance <= {WORD_LIMIT[0]} + {WORD_LIMIT[1]} / sqrt(n_words))) as kept
+from judged
+"""
