@@ -40,10 +40,10 @@ ORDERS = 4
 SLOTS = (1 << 10, 1 << 16, 1 << 19, 1 << 20)
 FIRST = (0, *np.cumsum(SLOTS).tolist())
 GATES = 8 * 4
-HOT = 20_000
+HOT = 400_000
 SAMPLE, SAMPLE_BYTES = 600, 20_000
 CHUNKS = [256, 256, 512, 1024, 2048, 4096]  # then 8,192
-HELD_WORDS = 200_000
+HELD_WORDS = 500_000
 SLICE = 2_000_000
 
 

@@ -82,7 +82,7 @@ def test_base_scores_against_brute_force(spark, monkeypatch):
     for i, t, *_ in rows:
         counts = [c[w] for w in words(t)] + [len(train)]
         want.append((str(i), fold(i) == 2, len(counts), sum(k > 0 for k in counts), n, round(sum(math.log10((k + 1) / (n + v + 1)) for k in counts), 6)))
-    for hot in (20_000, 5):
+    for hot in (400_000, 5):
         monkeypatch.setattr(mx, "HOT", hot)
         got = mx.score(spark.createDataFrame(rows, SCHEMA)).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(want)
