@@ -64,8 +64,8 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     place = np.arange(len(data)) - starts[np.maximum(np.cumsum(first) - 1, 0)]
-    value = (data.astype(np.uint64) + np.uint64(1)) * POWER[place % len(POWER)]
-    value[~inside] = 0
+    value = (data.astype(np.uint64) + np.uint64(1)) * POWER[place & (len(POWER) - 1)]
+    value *= inside
     h = np.add.reduceat(value, starts)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     ends = np.cumsum([len(x) + 1 for x in parts])
@@ -73,7 +73,7 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def terms_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(7)).astype(np.int64) % TERMS
+    return (hashes >> np.uint64(7) & np.uint64(TERMS - 1)).astype(np.int64)
 
 
 def answer_of(text: bytes) -> bytes:
@@ -88,10 +88,10 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[np.ndar
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(TERMS, np.int64), 0
         for batch in batches:
-            for part in common.slices(common.byte_texts(batch.column(0))):
+            for part in common.slices(common.byte_texts(batch.column(0)), STEP_BYTES):
                 hashes, sizes = hashed_words(part)
                 held = pa.array(np.repeat(np.arange(len(part)) * TERMS, sizes) + terms_of(hashes)).unique().to_numpy()
-                total += np.bincount(held % TERMS, minlength=TERMS)
+                total += np.bincount(held & (TERMS - 1), minlength=TERMS)
                 n += len(part)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": np.append(seen, -1), "n": np.append(total[seen], n)})
