@@ -31,8 +31,8 @@ from riskspark.llm import common
 
 CACHED = 150_000
 SPACE = "▁"
-DIGEST = T.StructType([
-    T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+DIGEST = T.StructType([T.StructField("n_tokens", T.LongType())] + [
+    T.StructField(n, T.StringType()) for n in ("ids_sha256", "decoded_sha256", "spans_sha256")])  # spans: starts, then ends, as four bytes each
 PIECES = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("starts", T.ArrayType(T.IntegerType())),
     T.StructField("ends", T.ArrayType(T.IntegerType()))])
@@ -132,14 +132,15 @@ class Model:
         self.lengths = np.array([1 if p.type == 6 else len(p.piece.replace(SPACE, " ").encode()) for p in spec.pieces])
         self.unknown, self.end, self.mark = self.library.unk_id(), self.library.eos_id(), self.library.piece_to_id(SPACE)
         self.identity = not normal.precompiled_charsmap and not normal.remove_extra_whitespaces
-        self.cache: dict[str, tuple[list[int], str]] = {}
+        self.cache: dict[str, list[int]] = {}
+        self.names = [str(i) for i in range(len(pieces))]
         self.split = re.compile(" +[^ ]*|[^ ]+")
 
     def cut(self, text: str) -> list[str]:
         return self.split.findall(" " + text.replace(SPACE, " ")) if text else []
 
-    def segments(self, texts: list[str]) -> list[list[tuple[list[int], str]]]:
-        """(ids, ids as text) of the segments of every text; new segments are encoded in one call."""
+    def segments(self, texts: list[str]) -> list[list[list[int]]]:
+        """Ids of the segments of every text; new segments are encoded in one call."""
         cuts = [self.cut(t) for t in texts]
         new = {s for c in cuts for s in c if s not in self.cache}
         if len(self.cache) + len(new) > CACHED:
@@ -147,36 +148,37 @@ class Model:
             new = {s for c in cuts for s in c}
         fresh = [s for s in new if s != " "]
         for s, ids in zip(fresh, self.library.encode([s[1:] for s in fresh], num_threads=1) if fresh else [], strict=True):
-            self.cache[s] = ids, " ".join(map(str, ids))
-        self.cache[" "] = [self.mark], str(self.mark)
+            self.cache[s] = ids
+        self.cache[" "] = [self.mark]
         return [[self.cache[s] for s in c] for c in cuts]
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
         """(ids with the end id, starts, ends): original byte spans; those of the bytes of one
         character that has no piece are its own bytes; the end id has an empty span at the end."""
-        data = text.encode()
-        normal, origin = self.normalize(data)
-        if self.identity and self.dummy:
-            ids = [i for p in self.segments([text])[0] for i in p[0]]
-        else:
-            ids = self.library.encode(text, num_threads=1)
-        lengths = self.lengths[np.array(ids, np.int64)]
-        edge = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        if edge[-1] != len(normal):
-            raise ValueError("an unknown piece hides its length; the model needs byte fallback")
-        return [*ids, self.end], np.append(origin[edge[:-1]], len(data)), np.append(origin[edge[1:]], len(data))
-
-    def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
-        """Counts, digest of ids, digest of the decoded ids, without spans."""
-        if self.identity and self.dummy:
-            encoded = self.segments(texts)
-        else:
-            encoded = [[(i, " ".join(map(str, i)))] if i else [] for i in (self.library.encode(texts, num_threads=1) if texts else [])]
-        ids = [[i for p in parts for i in p[0]] + [self.end] for parts in encoded]
-        spelled = [" ".join([p[1] for p in parts] + [str(self.end)]) for parts in encoded]
-        decoded = self.library.decode(ids, num_threads=1) if ids else []
-        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        return [len(i) for i in ids], [sha(x) for x in spelled], [sha(x) for x in decoded]
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """``encode`` of every text."""
+        own = self.identity and self.dummy
+        for text, parts in zip(texts, self.segments(texts) if own else texts, strict=True):
+            data = text.encode()
+            normal, origin = self.normalize(data)
+            ids = [i for p in parts for i in p] if own else self.library.encode(text, num_threads=1)
+            lengths = self.lengths[np.array(ids, np.int64)]
+            edge = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+            if edge[-1] != len(normal):
+                raise ValueError("an unknown piece hides its length; the model needs byte fallback")
+            yield [*ids, self.end], np.append(origin[edge[:-1]], len(data)), np.append(origin[edge[1:]], len(data))
+
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str, str]]:
+        """``DIGEST`` of every text; spans of an unmapped text that do not tile its bytes are an error."""
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for text, (ids, starts, ends) in zip(texts, self.encode_all(texts), strict=True):
+            if self.identity and (starts[0] or (starts[1:] != ends[:-1]).any() or ends[-1] != len(text.encode())):
+                raise ValueError("spans do not tile the text")
+            spelled = " ".join([self.names[i] for i in ids])
+            spans = np.stack([starts, ends]).astype("<i4").tobytes()
+            yield len(ids), sha(spelled.encode()), sha(self.library.decode(ids, num_threads=1).encode()), sha(spans)
 
 
 @lru_cache(maxsize=2)
@@ -236,11 +238,11 @@ def decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", name:
 
 
 def digest(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of encoding and decoding each text."""
+    """``docs`` with ``DIGEST``: the count and the digests of encoding with spans, and of decoding, each text."""
     path = path or model_path()
 
     def run(texts: list[str]) -> pa.Array:
-        n, ids, decoded = load(path).digests(texts)
-        return common.struct_array(n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids, pa.string()), decoded_sha256=pa.array(decoded, pa.string()))
+        cols = zip(*load(path).digests(texts), strict=True) if texts else [()] * len(DIGEST)
+        return common.struct_array(**{f.name: pa.array(list(c), pa.int64() if k == 0 else pa.string()) for k, (f, c) in enumerate(zip(DIGEST, cols, strict=True))})
 
     return common.add_fields(docs, _udf(run, DIGEST, path)(F.col(text_col)), DIGEST.names)

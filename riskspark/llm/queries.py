@@ -48,7 +48,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_sentencepiece_spans")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return pieces.digest(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "spans_sha256")
 
 
 @query("op7_chat_format")

@@ -70,3 +70,18 @@ def test_empty_table_and_query(spark, sf, library):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in got.collect():
         assert r.n_tokens == len(library.encode(docs[r.doc_id], add_eos=True))
+
+
+def test_digests_encode_with_spans(spark, monkeypatch):
+    data = [(i, t, "x", 0) for i, t in enumerate(texts()[-200:])]
+    model = pieces.load(pieces.model_path())
+    for r in pieces.digest(spark.createDataFrame(data, SCHEMA)).collect():
+        _, starts, ends = model.encode(r.text or "")
+        assert r.spans_sha256 == hashlib.sha256(b"".join(x.astype("<i4").tobytes() for x in (starts, ends))).hexdigest()
+    seen = []
+    plain = model.normalize
+    monkeypatch.setattr(model, "normalize", lambda data: seen.append(data) or plain(data))
+    assert len(list(model.digests(["a b", "", "▁x"]))) == 3 and seen == [b"a b", b"", "▁x".encode()]
+    monkeypatch.setattr(model, "normalize", lambda data: (plain(data)[0], plain(data)[1] + 1))
+    with pytest.raises(ValueError, match="tile"):
+        list(model.digests(["a b"]))
