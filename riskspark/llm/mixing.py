@@ -4,14 +4,14 @@ Texts are lower-cased (A-Z) and end with an end symbol. A symbol is spelled by a
 of it is predicted from the contexts of the last 0 to 3 bytes. A context and a node of the code tree hash
 to a slot that holds how often each bit followed in the training texts. The predictors' logits are mixed
 by weights that a gate chooses: how well the two longest contexts are known. The gated weights come from
-online gradient steps over a sample; each document then refines them with its own additive part, which
+rounds of gradient and curvature sums over all training texts; each document then refines them with its own additive part, which
 takes a gradient step after every chunk (chunks grow from 256 to 8,192 symbols), so a text is coded with
 what was known before it. The sum of the bits' log-probabilities is the score: total bits over bytes
 is the rate.
 
-Gathered from all training texts in one pass: word counts, and the slots' counts (spelled as keys with
-a leading blank, which no word has), both summed in the task before the shuffle. Slots are bounded
-(SLOTS) and so is what the driver gets. Only code lengths and starting weights come from ``SAMPLE`` texts.
+Gathered from all training texts, whole, in one pass: the counts of words and of symbols with their three
+bytes of context, both summed in the task before the shuffle. Code lengths, slots' counts and the rounds of
+the weights are sums over the counted symbols. Slots are bounded (SLOTS) and so is what the driver gets.
 
 Base scores need each word's count. Words above one HOT-th of all tokens (at most HOT of them) are looked
 up in a broadcast; the others are joined by word, so no key of the join has more than that share.
@@ -26,7 +26,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,8 @@ SLOTS = (1 << 10, 1 << 16, 1 << 19, 1 << 20)
 FIRST = (0, *np.cumsum(SLOTS).tolist())
 GATES = 8 * 4
 HOT = 400_000
-SAMPLE, SAMPLE_BYTES = 600, 20_000
+ROUNDS, RIDGE = 6, 64.0
+HELD_KEYS = 1_000_000
 CHUNKS = [256, 256, 512, 1024, 2048, 4096]  # then 8,192
 HELD_WORDS = 500_000
 SLICE = 2_000_000
@@ -117,6 +118,7 @@ class Mixer:
     logit: np.ndarray
     known: np.ndarray
     weights: np.ndarray
+    counts: np.ndarray | None = None  # only while the weights are learned
 
     def inputs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per bit the logits signed for the bit that comes [bit, order] and the gate; bits per key."""
@@ -125,6 +127,13 @@ class Mixer:
         gate = self.known[slots[3]].astype(np.int64) * 4 + self.known[slots[2]] // 2
         return (self.logit[slots] * sign).T.copy(), gate, bits
 
+    def inputs_without_own(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``inputs`` as they are for a symbol that was not counted itself: an unseen one."""
+        slots, bit, bits = expand(self.code, keys)
+        same, other = np.maximum(self.counts[slots, bit] - 1, 0), self.counts[slots, 1 - bit]
+        known = np.minimum(np.log2(same[2:] + other[2:] + 1) / 1.5, 7).astype(np.int64)
+        return np.log((same + 0.3) / (other + 0.3)).T.copy(), known[1] * 4 + known[0] // 2, bits
+
 
 def make_mixer(code: Code, counts: np.ndarray) -> Mixer:
     """``counts`` [slot, 2] of zero and one bits; equal starting weights."""
@@ -132,20 +141,40 @@ def make_mixer(code: Code, counts: np.ndarray) -> Mixer:
     p = (counts[:, 1] + 0.3) / (total + 0.6)
     logit = np.log(p / (1 - p)).astype(np.float32)
     known = np.minimum(np.log2(total + 1) / 1.5, 7).astype(np.uint8)
-    return Mixer(code, logit, known, np.full((GATES, ORDERS), 1 / ORDERS, np.float32))
+    return Mixer(code, logit, known, np.full((GATES, ORDERS), 1 / ORDERS, np.float32), counts.astype(np.float32))
+
+
+def weight_sums(mixer: Mixer, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Per gate the gradient and the curvature [gate, order, 1 + order] of the weights over ``n`` times each key.
+
+    Every symbol is predicted from the counts without itself, else the longest context seems sure.
+    """
+    out = np.zeros((GATES, ORDERS, 1 + ORDERS))
+    for k in range(0, len(keys), 65_536):
+        x, gate, bits = mixer.inputs_without_own(keys[k:k + 65_536])
+        times = np.repeat(n[k:k + 65_536], bits)
+        miss = 1 / (1 + np.exp(np.clip((x * mixer.weights[gate]).sum(axis=1, dtype=np.float64), -30, 30)))
+        bend = times * miss * (1 - miss)
+        for i in range(ORDERS):
+            out[:, i, 0] += np.bincount(gate, times * miss * x[:, i], GATES)
+            for j in range(ORDERS):
+                out[:, i, 1 + j] += np.bincount(gate, bend * x[:, i] * x[:, j], GATES)
+    return out
+
+
+def step(mixer: Mixer, sums: np.ndarray) -> Mixer:
+    """One damped Newton step of every gate's weights, no longer than one."""
+    move = np.linalg.solve(sums[:, :, 1:] + RIDGE * np.eye(ORDERS), sums[:, :, :1])[:, :, 0]
+    move /= np.maximum(np.linalg.norm(move, axis=1, keepdims=True), 1)
+    return replace(mixer, weights=np.round(mixer.weights + move, 5).astype(np.float32))
 
 
-def learn_weights(mixer: Mixer, texts: list[bytes], batch: int = 2048, rate: float = 0.5) -> Mixer:
-    """Online gradient steps of the gated weights over the texts in order."""
-    w = mixer.weights.astype(np.float64)
-    keys = grams(texts)[0] if texts else np.zeros(0, np.int64)
-    for step, k in enumerate(range(0, len(keys), batch)):
-        x, gate, _ = mixer.inputs(keys[k:k + batch])
-        miss = 1 / (1 + np.exp(np.clip((x * w[gate]).sum(axis=1), -30, 30)))
-        used = np.bincount(gate, minlength=GATES)[:, None]
-        grad = np.stack([np.bincount(gate, miss * x[:, m], GATES) for m in range(ORDERS)], axis=1)
-        w += rate / (1 + 0.01 * step) * grad / (used + 64)
-    return Mixer(mixer.code, mixer.logit, mixer.known, w.astype(np.float32))
+def learn_weights(mixer: Mixer, texts: list[bytes]) -> Mixer:
+    """The rounds over a few texts."""
+    keys, n = np.unique(grams(texts)[0], return_counts=True) if texts else (np.zeros(0, np.int64),) * 2
+    for _ in range(ROUNDS):
+        mixer = step(mixer, weight_sums(mixer, keys, n))
+    return mixer
 
 
 def score_texts(mixer: Mixer, texts: list[bytes], rate: float = 0.05) -> np.ndarray:
@@ -183,34 +212,84 @@ def score_texts(mixer: Mixer, texts: list[bytes], rate: float = 0.05) -> np.ndar
     return total / math.log(10)
 
 
-def _counts(docs: DataFrame, code: Code) -> DataFrame:
-    """(word, n): words and, as keys with a leading blank, slots with their bit, over all texts."""
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, where = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(where, n, len(distinct)).astype(np.int64)
+
+
+def _counts(docs: DataFrame) -> DataFrame:
+    """(word, key, n) over all texts: words (no key), and symbols with their context as keys (no word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table, ends = Counter(), np.zeros(2 * FIRST[ORDERS]), 0
-        pack = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+        words, held = Counter(), []
+        pack = lambda w, k, n: pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["word", "key", "n"])
+        pack_words = lambda c: pack(list(c), [None] * len(c), list(c.values()))
+        pack_keys = lambda k, n: pack([None] * len(k), k, n)
         for batch in batches:
             for part in common.slices(common.byte_texts(batch.column(0)), SLICE):
                 part = [t.lower() for t in part]
                 for t in part:
                     words.update(t.split())
-                ends += len(part)
                 found = pa.array(grams(part)[0]).value_counts()
-                keys, n = (found.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-                slots, bit, bits = expand(code, keys)
+                held.append([found.field(k).to_numpy(zero_copy_only=False) for k in range(2)])
+                if sum(len(k) for k, _ in held) > HELD_KEYS:
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    if 2 * len(held[0][0]) > HELD_KEYS:
+                        yield pack_keys(*held[0])
+                        held = []
+                if len(words) > HELD_WORDS:
+                    yield pack_words(words)
+                    words = Counter()
+        yield pack_words(words)
+        if held:
+            yield pack_keys(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    return docs.select("text").mapInArrow(run, "word string, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
+
+
+def _numbers(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)]
+
+
+def _slot_counts(keys: DataFrame, code: Code) -> np.ndarray:
+    """[slot, 2] of zero and one bits over counted keys, summed in the task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(2 * FIRST[ORDERS])
+        for batch in batches:
+            numbers = _numbers(batch)
+            for k in range(0, len(numbers[0]), 65_536):
+                key, n = (x[k:k + 65_536] for x in numbers)
+                slots, bit, bits = expand(code, key)
                 weight = np.repeat(n, bits)
                 for m in range(ORDERS):
                     low, high = 2 * FIRST[m], 2 * FIRST[m + 1]
                     table[low:high] += np.bincount(2 * slots[m] + bit - low, weight, high - low)
-                if len(words) > HELD_WORDS:
-                    yield pack(words)
-                    words = Counter()
         seen = np.flatnonzero(table)
-        yield pack(words)
-        yield pack(dict(zip([b" %d" % s for s in seen.tolist()], table[seen].astype(np.int64).tolist(), strict=True)))
-        yield pack({b" end": ends})
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(table[seen].astype(np.int64))], names=["s", "n"])
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = keys.mapInArrow(run, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(2 * FIRST[ORDERS])
+    table[found["s"].to_numpy(dtype=np.int64)] = found["n"].to_numpy()
+    return table.reshape(-1, 2)
+
+
+def _learn(keys: DataFrame, mixer: Mixer) -> Mixer:
+    """The rounds over counted keys; a task gives one small array."""
+    shared = keys.sparkSession.sparkContext.broadcast(mixer)
+    for _ in range(ROUNDS):
+        def run(batches: Iterator[pa.RecordBatch], weights=mixer.weights) -> Iterator[pa.RecordBatch]:
+            now, sums = replace(shared.value, weights=weights), np.zeros((GATES, ORDERS, 1 + ORDERS))
+            for batch in batches:
+                sums += weight_sums(now, *_numbers(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size, dtype=np.int32)), pa.array(sums.ravel())], names=["i", "v"])
+
+        sums = np.zeros((GATES, ORDERS, 1 + ORDERS))
+        for r in keys.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            sums.flat[r.i] = r.v
+        mixer = step(mixer, sums)
+    shared.unpersist()
+    return replace(mixer, counts=None)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -219,22 +298,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     docs = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     training = docs.where(common.fold(F.col(id_col), folds) != held)
 
-    share, rank = common.hashed_share(training, id_col, SAMPLE, "mixing")
-    sample = [r.t.encode().lower() for r in share.select(rank.alias("r"), F.substring("text", 1, SAMPLE_BYTES).alias("t")).orderBy("r", "t").limit(SAMPLE).collect()]
-    seen = np.bincount(np.frombuffer(b"".join(sample), np.uint8), minlength=END + 1)
-    seen[END] = len(sample)
-    code = build_code(seen)
-
-    counts = session.cut_lineage(_counts(training, code))
-    blank = F.col("word").startswith(" ")
-    slots = counts.where(blank & (F.col("word") != " end")).select(F.substring("word", 2, 12).cast("int").alias("s"), "n").toPandas()
-    table = np.zeros(2 * FIRST[ORDERS])
-    table[slots["s"].to_numpy(dtype=np.int64)] = slots["n"].to_numpy()
-    mixer = learn_weights(make_mixer(code, table.reshape(-1, 2)), sample)
+    counts = session.cut_lineage(_counts(training))
+    keys = counts.where(F.col("key").isNotNull()).select("key", "n")
+    seen = np.zeros(END + 1, np.int64)
+    for r in keys.groupBy(F.col("key").bitwiseAND(F.lit(511)).alias("s")).agg(F.sum("n").alias("n")).collect():  # at most END + 1 rows
+        seen[r.s] = r.n
+    code, ends = build_code(seen), int(seen[END])
+    mixer = _learn(keys, make_mixer(code, _slot_counts(keys, code)))
 
-    words = counts.where(~blank)
+    words = counts.where(F.col("key").isNull()).select("word", "n")
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = (counts.where("word = ' end'").agg(F.sum("n")).first()[0]) or 0
     tokens, kinds = facts.n + ends, facts.v + (ends > 0)
     floor = math.log10(tokens + kinds + 1)
     hot = {r.word.encode(): r.n for r in words.where(F.col("n") * HOT > tokens).collect()}  # at most HOT words

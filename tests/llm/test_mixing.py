@@ -98,3 +98,24 @@ def test_scores_tell_prose_from_noise(spark, sf):
     held = got.held_out
     assert rate[held & (got.doc_id < 10_000)].mean() < 4 < rate[held & (got.doc_id >= 10_000)].mean()
     assert (got.score < 0).all()
+
+
+def test_model_learns_from_every_byte_of_every_training_text(spark, monkeypatch):
+    """Code and weights equal those of all texts at once; the tail of a long text counts."""
+    made = []
+    learn = mx._learn
+    monkeypatch.setattr(mx, "_learn", lambda keys, mixer: made.append(learn(keys, mixer)) or made[-1])
+    texts = prose(700, 5) + [b"the of " * 4000 + b"q" * 9000]
+    rows = [(i, t.decode(), "x", 1) for i, t in enumerate(texts)]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert texts[-1] in train
+    mx.score(spark.createDataFrame(rows, SCHEMA))
+    seen = np.bincount(np.frombuffer(b"".join(train), np.uint8), minlength=257)
+    seen[mx.END] = len(train)
+    code = mx.build_code(seen)
+    assert made[0].code.length.tolist() == code.length.tolist()
+    keys, n = np.unique(mx.grams(train)[0], return_counts=True)
+    slots, bit, bits = mx.expand(code, keys)
+    table = sum(np.bincount(2 * s + bit, np.repeat(n, bits), 2 * mx.FIRST[mx.ORDERS]) for s in slots)
+    want = mx.learn_weights(mx.make_mixer(code, table.reshape(-1, 2)), train)
+    assert np.array_equal(made[0].logit, want.logit) and np.abs(made[0].weights - want.weights).max() < 1e-3
