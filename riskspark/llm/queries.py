@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskspark.llm import chat, common, decontaminate, langid, mixing, pieces, quality, rules, secret_scan, simhash, urls
+from riskspark.llm import byte_bpe, chat, common, decontaminate, langid, mixing, pieces, quality, rules, secret_scan, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_context_mixing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.score(table(spark, sf_dir, "documents"))
+
+
+@query("op11_duckdb_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
