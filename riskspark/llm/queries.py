@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskspark.llm import byte_bpe, chat, common, decontaminate, langid, mixing, pieces, quality, rules, secret_scan, simhash, urls
+from riskspark.llm import byte_bpe, chat, common, decontaminate, langid, merkle, mixing, pieces, quality, rules, secret_scan, simhash, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_duckdb_bpe")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op12_merkle_manifest")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    halves = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.audit(docs, {"text": F.translate("text", "\n", "")}, halves)
+
+
+SQL["op12_merkle_manifest"] = merkle.ORACLE
+
+
+@query("op13_exact_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
