@@ -2,16 +2,17 @@
 
 1. Every row becomes a leaf digest where it is read; only digests, keys and positions are shuffled.
 2. Leaves are range partitioned by group and key and numbered from the counts per partition, so a group
-   that holds a third of all rows is spread like any other. Nodes are named by level and position:
-   every ``arity`` neighbours of a level become their parent's digest, until a group has one node, its
-   subroot. Subroots in the order of their groups are the leaves of one more such tree: the root.
-3. Every node holds the sibling digests of the step to its parent. A self-join on the ancestor doubles
-   the distance that every node sees, and its siblings' array continues with its ancestor's, until every
-   leaf reaches the root: as many joins as the logarithm of the tree's height. Nodes that no longer are
-   an ancestor of that distance leave the table. The ancestors' side is counted in every round and
-   broadcast below ``small_bytes``; above it has so many keys that a shuffle is even.
-
-Every level and round is a checkpoint; nothing but counts and the root comes to the driver.
+   that holds a third of all rows is spread like any other. Every ``arity`` neighbours of a level become their
+   parent's digest, until a group has one node, its subroot. One shuffle climbs ``RISE`` levels: it brings
+   together the ``arity ** RISE`` neighbours below a node, a fixed number whatever the group's size.
+   Subroots in the order of their groups are the leaves of one more such tree: the root.
+3. Every node holds the sibling digests on its way to the node ``RISE`` levels above. A self-join on the
+   ancestor doubles the distance that every node sees, and its siblings' array continues with its
+   ancestor's, until every leaf reaches the root: as many joins as the logarithm of the tree's height. Nodes
+   that no longer are an ancestor of that distance leave the table. The ancestors' side is counted in every
+   round and broadcast below ``small_bytes``; above it has so many keys that a shuffle is even.
+
+Every climb and round is a checkpoint; nothing but counts and the root comes to the driver.
 
 Null fields have their own mark, so null and empty differ; a null group is one group and comes first;
 null keys come first in their group. Repeated rows are leaves of their own, next to each other (ties are
@@ -28,9 +29,10 @@ from riskspark import session
 from riskspark.operators import distsort
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
-LEVEL = 56  # bits of a node's name below its level
-TOP = 64  # the subroots' tree counts its levels from here
-SMALL_BYTES = 32_000_000
+LEVEL = 56  # bits of a node's name below its climb
+TOP = 64  # the subroots' tree counts its climbs from here
+RISE = 4  # levels of one climb
+SMALL_BYTES = 16_000_000
 
 
 def hex_text(digest: Column) -> Column:
@@ -66,29 +68,35 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def grow(nodes: DataFrame, most: int, first: int, arity: int) -> tuple[list[DataFrame], DataFrame]:
-    """Edges per level, and the last node of every tree.
+    """Edges per climb, and the last node of every tree.
 
     ``nodes`` has base (where a tree starts), m (nodes of the tree's level), j (position among them), id,
-    digest and row (what a leaf carries, else null); ``most`` is the largest m, ``first`` the first level.
-    Edges have id, anc, row and siblings: one array entry, the count of left siblings, then all digests.
+    digest and row (what a leaf carries, else null); ``most`` is the largest m, ``first`` the first climb.
+    Edges have id, anc, row and siblings: per level one array entry, the count of left siblings, then all digests.
     """
-    edges, ends, level = [], [], 0
+    edges, ends, climb, wide = [], [], 0, arity**RISE
     while most > 1:
         ends.append(nodes.where("m = 1"))
-        level += 1
-        runs = nodes.where("m > 1").groupBy("base", "m", F.expr(f"j div {arity}").alias("up")).agg(
+        climb += 1
+        runs = nodes.where("m > 1").groupBy("base", "m", F.expr(f"j div {wide}").alias("up")).agg(
             F.sort_array(F.collect_list(F.struct("j", "id", "digest", "row"))).alias("kids"))
-        joined = F.array_join(F.transform("kids", lambda k: hex_text(k.digest)), "")
+        runs = runs.withColumns({"m0": F.col("m"), "d0": F.transform("kids", lambda k: k.digest)})
+        for q in range(1, RISE + 1):  # a tree that has one node left stays as it is
+            below = f"d{q - 1}"
+            starts = F.sequence(F.lit(0), F.expr(f"(size({below}) - 1) div {arity}"))
+            parents = F.transform(starts, lambda i: F.unhex(F.sha2(F.array_join(F.transform(  # noqa: B023
+                F.slice(below, i * arity + 1, arity), hex_text), "").cast("binary"), 256)))  # noqa: B023
+            runs = runs.withColumn(f"d{q}", F.when(F.col(f"m{q - 1}") > 1, parents).otherwise(F.col(below)))
+            runs = runs.withColumn(f"m{q}", F.expr(f"(m{q - 1} + {arity - 1}) div {arity}"))
         runs = session.cut_lineage(runs.select(
-            "base", F.expr(f"(m + {arity - 1}) div {arity}").alias("m"), F.col("up").alias("j"),
-            (F.lit((first + level) << LEVEL) + F.col("base") + F.col("up") * arity**level).alias("id"),
-            F.unhex(F.sha2(joined.cast("binary"), 256)).alias("digest"), "kids"))
-        kid = runs.select(F.col("id").alias("anc"), "kids", F.posexplode("kids").alias("k", "kid"))
-        others = F.aggregate(F.filter("kids", lambda x: x.j != F.col("kid.j")), F.col("k").cast("string").cast("binary"),
-                             lambda out, x: F.concat(out, x.digest))
-        edges.append(kid.select("kid.id", "anc", "kid.row", F.array(others).alias("siblings")))
-        nodes = runs.select("base", "m", "j", "id", "digest", F.lit(None).cast(nodes.schema["row"].dataType).alias("row"))
-        most = -(-most // arity)
+            "base", "up", (F.lit((first + climb) << LEVEL) + F.col("base") + F.col("up")).alias("id"), "kids",
+            *[f"m{q}" for q in range(RISE + 1)], *[f"d{q}" for q in range(RISE + 1)]))
+        kid = runs.select("*", F.posexplode("kids").alias("k", "kid"))
+        edges.append(kid.select("kid.id", F.col("id").alias("anc"), "kid.row", F.array_compact(F.array(
+            *[F.when(F.col(f"m{q}") > 1, _siblings(f"d{q}", F.expr(f"k div {arity**q}"), arity)) for q in range(RISE)])).alias("siblings")))
+        nodes = runs.select("base", F.col(f"m{RISE}").alias("m"), F.col("up").alias("j"), "id", F.get(f"d{RISE}", F.lit(0)).alias("digest"),
+                            F.lit(None).cast(nodes.schema["row"].dataType).alias("row"))
+        most = -(-most // wide)
     ends.append(nodes)
     last = ends[0]
     for more in ends[1:]:
@@ -96,8 +104,16 @@ def grow(nodes: DataFrame, most: int, first: int, arity: int) -> tuple[list[Data
     return edges, session.cut_lineage(last)
 
 
+def _siblings(level: str, at: Column, arity: int) -> Column:
+    """The count of left siblings of the node at ``at`` of a level, then the siblings' digests."""
+    place = F.pmod(at, F.lit(arity))
+    run = F.slice(level, (at - place + 1).cast("int"), arity)
+    others = F.filter(run, lambda x, i: i != place)
+    return F.aggregate(others, place.cast("string").cast("binary"), lambda out, x: F.concat(out, x))
+
+
 def jump(edges: list[DataFrame], small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """(row, siblings) of every leaf, its siblings up to the root; ``edges`` are all levels, lowest first."""
+    """(row, siblings) of every leaf, its siblings up to the root; ``edges`` are all climbs, lowest first."""
     now = edges[0]
     for more in edges[1:]:
         now = now.unionByName(more)
@@ -108,7 +124,7 @@ def jump(edges: list[DataFrame], small_bytes: int = SMALL_BYTES) -> DataFrame:
             return now.where("row is not null").select("row", "siblings")
         above = now.where(F.col("id") >= F.lit(min(seen, TOP) << LEVEL)).select(
             F.col("id").alias("anc"), F.col("anc").alias("next"), F.col("siblings").alias("more"))
-        if above.count() * (80 + 100 * seen) <= small_bytes:
+        if above.count() * (80 + 100 * RISE * seen) <= small_bytes:
             above = F.broadcast(above)
         wanted = now.where(F.col("row").isNotNull() | (F.lit(not last) & (F.col("id") >= F.lit(min(2 * seen, TOP) << LEVEL))))
         now = wanted.join(above, "anc", "left").select(
