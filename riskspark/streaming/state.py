@@ -1,315 +1,15 @@
-"""Keyed streaming state: point-in-time features, device users, mandates and hold timers.
-
-Each processor keeps one key's bounded history (30 days, 24 hours or a single record) in the
-state store and handles a micro-batch of that key as arrays. Finishing expressions are the
-same Columns as in batch.
-"""
+"""Keyed streaming state of mandates and holds: one small record per key."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from decimal import Decimal
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from riskspark.constants import DAY, MANDATE_INTERVAL_S, UNKNOWN_DEVICE
-from riskspark.functions import scalar as S
-from riskspark.operators import windows as W
-
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-MONTH = 30 * DAY
-NONE = np.zeros(0, dtype=np.int64)
-HISTORY = "us bigint, cents bigint, hour int, cat string, dev string, lat double, lon double, id string"
-RAW = T.StructType([
-    T.StructField("transaction_id", T.StringType()), T.StructField("customer_id", T.StringType()),
-    T.StructField("us", T.LongType()), T.StructField("cents", T.LongType()),
-    T.StructField("hour", T.IntegerType()), T.StructField("cat", T.StringType()),
-    T.StructField("dev", T.StringType()), T.StructField("lat", T.DoubleType()),
-    T.StructField("lon", T.DoubleType()), T.StructField("payload", T.StringType()),
-    T.StructField("lane", T.IntegerType()), T.StructField("member", T.BooleanType()),
-])
-OUT = T.StructType(
-    [f for f in RAW.fields]
-    + [T.StructField(f"tx_count_{h}", T.LongType()) for h in ("1m", "5m", "15m", "1h")]
-    + [T.StructField(f"_cents_{h}", T.LongType()) for h in ("5m", "15m", "1h")]
-    + [T.StructField(n, T.LongType()) for n in ("_n", "_sum", "_hours", "_same_cat", "_devices", "_same_dev")]
-    + [T.StructField("_squares", T.DecimalType(38, 0))]
-    + [T.StructField(f"_{p}_{c}", T.LongType() if c == "us" else T.DoubleType())
-       for p in ("any", "own") for c in ("us", "lat", "lon")]
-    + [T.StructField(n, T.BooleanType()) for n in ("_placed", "_near", "late")])
-
-
-def use_rocks(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-
-
-def _km(lat1, lon1, lat2, lon2):
-    """Great-circle distance of one place to many."""
-    p1, p2 = np.radians(lat1), np.radians(lat2)
-    a = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    return 2 * S.EARTH_KM * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
-
-
-def _stack(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Rows of both; an empty side does not decide the column types."""
-    if not len(a) or not len(b):
-        return (b if not len(a) else a).reset_index(drop=True)
-    return pd.concat([a, b], ignore_index=True)
-
-
-def window_arrays(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    """Prior-window values of every row of ``new``, given the key's history ``old`` and the
-    members among ``new``."""
-    both = _stack(old, new.loc[new.member.astype(bool), old.columns]).sort_values(["us", "id"], kind="stable", ignore_index=True)
-    us, cents = both.us.to_numpy(np.int64), both.cents.to_numpy(np.int64)
-    t = new.us.to_numpy(np.int64)
-    upto = np.searchsorted(us, t, "left")
-    running = lambda x: np.concatenate([[0], np.cumsum(x)])
-    span = lambda total, lo: total[upto] - total[lo]
-    out = new.copy()
-    money = running(cents)
-    for h, n in W.SHORT.items():
-        lo = np.searchsorted(us, t - n, "left")
-        out[f"tx_count_{h}"] = upto - lo
-        if h in W.SUMMED:
-            out[f"_cents_{h}"] = span(money, lo)
-    lo = np.searchsorted(us, t - MONTH, "left")
-    known = ((both.dev != "") & (both.dev != UNKNOWN_DEVICE)).to_numpy()
-    out["_n"], out["_sum"] = upto - lo, span(money, lo)
-    out["_hours"] = span(running(both.hour.to_numpy(np.int64)), lo)
-    out["_devices"] = span(running(known.astype(np.int64)), lo)
-    squares = running(np.array([int(c) * int(c) for c in cents], dtype=object))
-    out["_squares"] = [Decimal(int(x)) for x in span(squares, lo)]
-    place = ((both.lat != 0) | (both.lon != 0)).to_numpy()
-    lat, lon = both.lat.to_numpy(), both.lon.to_numpy()
-
-    def positions(values: pd.Series) -> dict:
-        return {k: np.asarray(v) for k, v in values.groupby(values).indices.items()}
-    by_cat, by_dev = positions(both["cat"]), positions(both["dev"])
-
-    def among(index: dict, names: pd.Series):
-        same, last = np.zeros(len(new), np.int64), np.full(len(new), -1)
-        for i, (name, a, b) in enumerate(zip(names, lo, upto)):
-            at = index.get(name, NONE)
-            x, y = np.searchsorted(at, a), np.searchsorted(at, b)
-            same[i] = y - x
-            if y > x:
-                last[i] = at[y - 1]
-        return same, last
-    out["_same_cat"], _ = among(by_cat, new["cat"])
-    out["_same_dev"], own = among(by_dev, new["dev"])
-    latest = np.where(upto > lo, upto - 1, -1)
-    for p, at in (("any", latest), ("own", own)):
-        hit = at >= 0
-        safe = np.where(hit, at, 0)
-        out[f"_{p}_us"] = pd.array(np.where(hit, us[safe], 0), dtype="Int64")
-        out.loc[~hit, f"_{p}_us"] = pd.NA
-        out[f"_{p}_lat"], out[f"_{p}_lon"] = np.where(hit, lat[safe], np.nan), np.where(hit, lon[safe], np.nan)
-    out["_placed"] = span(running(place.astype(np.int64)), lo) > 0
-    near = []
-    for a, b, y, x in zip(lo, upto, new.lat, new.lon):
-        seen = place[a:b]
-        near.append(bool((y or x) and seen.any() and _km(y, x, lat[a:b][seen], lon[a:b][seen]).min() <= W.NEAR_KM))
-    out["_near"] = near
-    return out
-
-
-class HistoryProcessor(StatefulProcessor):
-    """30-day history of one customer. ``lateness_us``: rows older than the newest processed
-    row by more than this are not scored. ``blocked``: when given, rows are decided one by one
-    and a blocked row never enters the history."""
-
-    def __init__(self, lateness_us: int | None = None, blocked: Callable[[pd.DataFrame], np.ndarray] | None = None):
-        self.lateness_us, self.blocked = lateness_us, blocked
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", HISTORY)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).rename(columns={"transaction_id": "id"})
-        new = new.sort_values(["us", "id"], kind="stable", ignore_index=True)
-        names = [c.split()[0] for c in HISTORY.split(", ")]
-        kept = list(self.rows.get()) if self.rows.exists() else []
-        old = pd.DataFrame(kept, columns=names).astype({"us": "int64", "cents": "int64", "hour": "int64"})
-        late = pd.Series(False, index=new.index)
-        if self.lateness_us is not None and len(old):
-            late = new.us < old.us.max() - self.lateness_us
-        todo, rest = new[~late].reset_index(drop=True), new[late]
-        if self.blocked is None or not len(todo):
-            scored, joined = window_arrays(old, todo), todo[todo.member.astype(bool)]
-        else:
-            scored, joined = self._one_by_one(old, todo)
-        alive = _stack(old, joined[names]).sort_values(["us", "id"], kind="stable")
-        top = alive.us.max() if len(alive) else 0
-        spare = self.lateness_us or 0
-        if len(old) and old.us.min() < top - MONTH - spare:
-            alive = alive[alive.us >= top - MONTH - spare]
-            self.rows.put([tuple(r) for r in alive.itertuples(index=False, name=None)])
-        else:
-            fresh = [tuple(r) for r in joined[names].itertuples(index=False, name=None)]
-            if fresh:
-                self.rows.appendList(fresh)
-        out = _stack(scored.assign(late=False), rest.assign(late=True))
-        out = out.rename(columns={"id": "transaction_id"}).reindex(columns=OUT.fieldNames())
-        yield out
-
-    def _one_by_one(self, old: pd.DataFrame, todo: pd.DataFrame):
-        """Score up to the next blocked row, leave that row out, and go on after it."""
-        parts, kept = [], []
-        while len(todo):
-            out = window_arrays(old, todo)
-            stop = np.flatnonzero(self.blocked(out))
-            if not len(stop):
-                parts.append(out)
-                kept.append(todo)
-                break
-            j = int(stop[0])
-            parts.append(out.iloc[:j + 1])
-            kept.append(todo.iloc[:j])
-            old = _stack(old, todo.iloc[:j][old.columns])
-            todo = todo.iloc[j + 1:].reset_index(drop=True)
-        return pd.concat(parts, ignore_index=True), pd.concat(kept, ignore_index=True)
-
-    def close(self) -> None:
-        pass
-
-
-def impossible_travel(rows: pd.DataFrame) -> np.ndarray:
-    """A block rule that needs only state: more than 800 km/h since the previous event."""
-    own = rows["_own_us"].notna().to_numpy() & ~rows["dev"].isin(["", UNKNOWN_DEVICE]).to_numpy()
-    pick = lambda c: np.where(own, rows[f"_own_{c}"].fillna(0), rows[f"_any_{c}"].fillna(0)).astype(float)
-    us, lat, lon = pick("us"), pick("lat"), pick("lon")
-    y, x = rows["lat"].to_numpy(float), rows["lon"].to_numpy(float)
-    known = (us > 0) & ((lat != 0) | (lon != 0)) & ((y != 0) | (x != 0))
-    hours = np.maximum((rows["us"].to_numpy(float) - us) / 3.6e9, 1 / 3600)
-    return known & (_km(y, x, lat, lon) / hours > 800)
-
-
-def history_stream(tx: DataFrame, lateness_us: int | None = None,
-                   blocked: Callable[[pd.DataFrame], np.ndarray] | None = None,
-                   lanes: Column | None = None) -> DataFrame:
-    """Raw window values per transaction, as :func:`windows.history_windows` gives in batch.
-
-    ``lanes`` splits the history of a hot customer: a row is stored in one lane and asks all
-    of them, and :func:`merge_lanes` adds the parts within the micro-batch. Deciding row by
-    row (``blocked``) or against the newest row (``lateness_us``) needs the whole key.
-    """
-    if lanes is not None and (blocked is not None or lateness_us is not None):
-        raise ValueError("lanes cannot be combined with eviction or lateness")
-    use_rocks(tx)
-    n = F.lit(1) if lanes is None else lanes
-    narrow = tx.select(
-        "transaction_id", "customer_id", "us", (F.col("amount") * 100).cast("bigint").alias("cents"),
-        S.given(tx, "hour_of_day", S.hour_of(F.col("us"))).alias("hour"), F.lower(F.coalesce("category", F.lit(""))).alias("cat"),
-        F.trim(F.coalesce("device_id", F.lit(""))).alias("dev"), F.col("latitude").alias("lat"),
-        F.col("longitude").alias("lon"), F.to_json(F.struct(*tx.columns)).alias("payload"),
-        F.explode(F.sequence(F.lit(0), n - 1)).alias("lane"),
-        F.pmod(F.xxhash64("transaction_id"), n).cast("int").alias("_home"))
-    narrow = narrow.withColumn("member", F.col("lane") == F.col("_home")).drop("_home")
-    return narrow.groupBy("customer_id", "lane").transformWithStateInPandas(
-        HistoryProcessor(lateness_us, blocked), OUT, "Append", "None")
-
-
-def merge_lanes(batch: DataFrame) -> DataFrame:
-    """One row per transaction from the parts of its lanes (all in the same micro-batch)."""
-    added = [c for c in OUT.fieldNames() if c.startswith(("tx_count_", "_cents_")) or c in (
-        "_n", "_sum", "_hours", "_same_cat", "_devices", "_same_dev", "_squares")]
-    last = {p: [f"_{p}_{c}" for c in ("us", "lat", "lon")] for p in ("any", "own")}
-    flags = ["_placed", "_near", "late"]
-    fixed = [c for c in OUT.fieldNames() if c not in (*added, *flags, *last["any"], *last["own"], "lane", "member")]
-    fixed.remove("transaction_id")
-    newest = {p: F.max_by(F.struct(*cols), F.col(cols[0])).alias(f"_{p}") for p, cols in last.items()}
-    out = batch.groupBy("transaction_id").agg(
-        *[F.any_value(c).alias(c) for c in fixed], *[F.sum(c).cast(OUT[c].dataType).alias(c) for c in added],
-        *[F.bool_or(c).alias(c) for c in flags], *newest.values())
-    picked = {c: F.col(f"_{p}.{c}") for p, cols in last.items() for c in cols}
-    return out.withColumns({**picked, "lane": F.lit(0), "member": F.lit(True)}).select(*OUT.fieldNames())
-
-
-def finish(raw: DataFrame, tx_schema: T.StructType) -> DataFrame:
-    """Features of the state output, by the batch expressions."""
-    tx = F.from_json("payload", tx_schema)
-    out = raw.withColumn("_tx", tx).select(
-        *[F.col(f"_tx.{c}").alias(c) for c in tx_schema.fieldNames()],
-        *[c for c in raw.columns if c not in tx_schema.fieldNames() and c != "payload"])
-    prev = lambda p: F.when(F.col(f"_{p}_us").isNotNull(), F.struct(
-        F.col(f"_{p}_us").alias("us"), F.col(f"_{p}_lat").alias("lat"), F.col(f"_{p}_lon").alias("lon")))
-    out = out.withColumns({"_last": prev("any"), "_last_dev": prev("own"), "_dev": F.col("dev"),
-                           "_hour": F.col("hour"), "_cents": F.col("cents"),
-                           "is_new_location": (S.has_place(F.col("lat"), F.col("lon")) & F.col("_placed") & ~F.col("_near")).cast("int")})
-    for h in W.SUMMED:
-        out = out.withColumn(f"amount_sum_{h}", F.col(f"_cents_{h}") / F.lit(100.0))
-    out = W.new_device_column(W.home_distance(W.previous_event_columns(W.behavior_columns(out))))
-    drop = [c for c in out.columns if c.startswith("_") or c in ("cents", "hour", "cat", "dev", "lat", "lon", "lane", "member")]
-    return out.drop(*drop)
-
-
-class DeviceProcessor(StatefulProcessor):
-    """Uses of one device per customer, kept for 24 hours and the accepted lateness.
-
-    A row counts the customers with a use in the 24 hours before it, so a row that comes late neither
-    sees later uses nor hides them; uses older than a day plus ``lateness`` behind the newest are dropped.
-    """
-
-    def __init__(self, lateness: int = DAY):
-        self.lateness = lateness
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.users = handle.getMapState("users", "customer string", "uses array<bigint>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values("us", kind="stable", ignore_index=True)
-        had = {k[0]: [int(u) for u in v[0]] for k, v in self.users.iterator()} if self.users.exists() else {}
-        own = new[new.member.astype(bool)]
-        uses = {c: set(u) for c, u in had.items()}
-        for c, us in zip(own.customer_id, own.us.astype("int64")):
-            uses.setdefault(c, set()).add(int(us))
-        times = {c: np.array(sorted(u), dtype=np.int64) for c, u in uses.items()}
-        at = new.us.to_numpy(dtype=np.int64)
-        counts = np.zeros(len(at), dtype=np.int64)
-        for t in times.values():  # a use in [t - 24 h, t)
-            counts += np.searchsorted(t, at, side="left") > np.searchsorted(t, at - DAY, side="left")
-        floor = max((t[-1] for t in times.values()), default=0) - DAY - self.lateness
-        for c, t in times.items():
-            kept = t[t >= floor].tolist()
-            if not kept:
-                if c in had:
-                    self.users.removeKey((c,))
-            elif kept != had.get(c):
-                self.users.updateValue((c,), (kept,))
-        yield pd.DataFrame({"transaction_id": new.transaction_id, "users": counts})
-
-    def close(self) -> None:
-        pass
-
-
-def device_stream(tx: DataFrame, lanes: Column | None = None) -> DataFrame:
-    """Distinct customers on the device in the prior 24 h, per lane of the device.
-
-    A customer lives in one lane and every use asks all lanes, so :func:`merge_users` adds
-    disjoint counts. Rows without a device hold no state.
-    """
-    use_rocks(tx)
-    n = F.lit(1) if lanes is None else lanes
-    named = tx.select(
-        "transaction_id", "customer_id", "us", F.trim(F.coalesce("device_id", F.lit(""))).alias("device"),
-        F.explode(F.sequence(F.lit(0), n - 1)).alias("lane"),
-        F.pmod(F.xxhash64("customer_id"), n).cast("int").alias("_home"))
-    named = named.withColumn("member", F.col("lane") == F.col("_home")).drop("_home")
-    known = S.known_device(F.col("device"))
-    counted = named.where(known).groupBy("device", "lane").transformWithStateInPandas(
-        DeviceProcessor(), "transaction_id string, users int", "Append", "None")
-    return counted.unionByName(named.where(~known & (F.col("lane") == 0)).select("transaction_id", F.lit(0).alias("users")))
-
-
-def merge_users(batch: DataFrame) -> DataFrame:
-    """Count per transaction from the parts of its lanes; at least 1."""
-    return batch.groupBy("transaction_id").agg(
-        F.greatest(F.lit(1), F.sum("users")).cast("int").alias("device_user_count_24h"))
+from riskspark.constants import MANDATE_INTERVAL_S
+from riskspark.streaming.history import use_rocks
 
 
 class MandateProcessor(StatefulProcessor):

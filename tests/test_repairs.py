@@ -3,65 +3,14 @@
 import hashlib
 import hmac
 
-import pandas as pd
 from pyspark.sql import functions as F
 
-from riskspark.constants import DAY
 from riskspark.operators import ml as M
 from riskspark.operators import ops as O
 from riskspark.operators import workflow as K
 from riskspark.plans import features as P
-from riskspark.streaming.state import DeviceProcessor
 from tests.helpers import by_id, tx
 
-HOUR = 3_600_000_000
-
-
-class MapState:
-    def __init__(self):
-        self.held = {}
-
-    def exists(self):
-        return bool(self.held)
-
-    def iterator(self):
-        return iter([(k, v) for k, v in self.held.items()])
-
-    def updateValue(self, key, value):
-        self.held[key] = value
-
-    def removeKey(self, key):
-        self.held.pop(key)
-
-
-class Handle:
-    def getMapState(self, *_):
-        return MapState()
-
-
-def feed(processor, *rows):
-    frame = pd.DataFrame([dict(transaction_id=f"t{i}", customer_id=c, us=int(h * HOUR), member=True) for i, (c, h) in enumerate(rows)])
-    return pd.concat(processor.handleInputRows(("d",), [frame], None)).users.tolist()
-
-
-def test_late_device_use_neither_sees_nor_hides_later_ones():
-    p = DeviceProcessor()
-    p.init(Handle())
-    assert feed(p, ("c1", 100)) == [0]
-    assert feed(p, ("c1", 90)) == [0]
-    assert feed(p, ("c2", 120)) == [1]
-    assert feed(p, ("c3", 95)) == [1]
-    assert feed(p, ("c4", 1000)) == [0]
-    assert list(p.users.held) == [("c4",)]
-
-
-def test_device_uses_leave_after_the_lateness():
-    p = DeviceProcessor(lateness=0)
-    p.init(Handle())
-    feed(p, ("c1", 0), ("c1", 30), ("c2", 50))
-    assert p.users.held == {("c1",): ([30 * HOUR],), ("c2",): ([50 * HOUR],)} and DAY == 24 * HOUR
-
-
 def test_null_stage_keeps_its_summary(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0), (None, 4.0)], "stage string, latency double")
     got = {r.stage: (r["count"], r.p50) for r in O.latency_summary(df).collect()}
