@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: st
     numbers = common.text_udf(lambda t: pa.array(list(statistics(t)), pa.list_(pa.float64())), T.ArrayType(T.DoubleType()))
     texts = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     rows = (texts.join(F.broadcast(chosen), id_col).select(id_col, "quality", numbers("text").alias("x"))
-            .dropDuplicates([id_col]).orderBy(id_col).limit(max_rows).collect())
+            .groupBy(id_col, "quality").agg(F.min("x").alias("x")).orderBy(id_col).limit(max_rows).collect())  # of texts that share an id the least
     x = np.array([r.x for r in rows]).reshape(len(rows), len(STATISTICS))
     return fit_forest(x, np.array([float(r.quality > 0) for r in rows]), **options)
 
