@@ -84,10 +84,10 @@ def _leading(df: DataFrame, count: int, key: str, seed: int) -> Column:
 
 def split_stratified(df: DataFrame, label: str = "is_fraud", key: str = "transaction_id",
                      test: float = 0.2, seed: int = 42) -> DataFrame:
-    """80/20 split that keeps the label ratio exactly: per label, the first 20 % in hash order."""
+    """80/20 split that keeps the label ratio exactly: per label (null is one), the first 20 % in hash order."""
     in_test = F.lit(False)
     for row in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect():  # one row per label
-        one = F.col(label) == row[label]
+        one = F.col(label).eqNullSafe(F.lit(row[label]))
         in_test = in_test | (one & _leading(df.where(one), int(row.n * test), key, seed))
     return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
 

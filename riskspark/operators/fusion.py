@@ -62,6 +62,26 @@ def contract_faults(df: DataFrame) -> DataFrame:
     return df.withColumn("violations", F.array_compact(F.array(*[bad(s) for s in SIGNALS.values()])))
 
 
+def strict_contract(df: DataFrame, raw: str = "signals") -> DataFrame:
+    """Signals as they arrive, a map of texts: adds ``faults`` (signal and reason, in signal order) and
+    ``accepted``. A signal that is missing, a boolean, no number, not finite or out of range is refused."""
+    def fault(name: str) -> Column:
+        text = F.trim(F.col(raw)[name])
+        x = text.try_cast("double")
+        why = (F.when(text.isNull(), "missing").when(F.lower(text).isin("true", "false"), "boolean").when(x.isNull(), "not numeric")
+               .when(F.isnan(x) | (F.abs(x) == float("inf")), "not finite").when((x < 0) | (x > 1), "out of range"))
+        return F.when(why.isNotNull(), F.concat(F.lit(f"{name}: "), why))
+    out = df.withColumn("faults", F.array_compact(F.array(*[fault(s) for s in SIGNALS.values()])))
+    return out.withColumn("accepted", F.size("faults") == 0)
+
+
+def split_contract(df: DataFrame, raw: str = "signals") -> tuple[DataFrame, DataFrame]:
+    """(rows whose five signals hold the strict contract, as numbers; rejected rows with their faults)."""
+    checked = strict_contract(df, raw)
+    numbers = {s: F.col(raw)[s].try_cast("double") for s in SIGNALS.values()}
+    return checked.where("accepted").withColumns(numbers).drop("faults", "accepted"), checked.where(~F.col("accepted")).drop("accepted")
+
+
 def check_weights(weights: dict[str, float]) -> None:
     if abs(sum(weights.values()) - 1.0) > 1e-5 or not all(0 <= w <= 1 for w in weights.values()):
         raise ValueError(f"weights must be within [0, 1] and sum to 1: {weights}")

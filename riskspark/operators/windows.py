@@ -194,6 +194,12 @@ def behavior_columns(df: DataFrame) -> DataFrame:
     })
 
 
+def mean_hour(df: DataFrame) -> DataFrame:
+    """Mean hour of the prior 30 days; null without history."""
+    n = F.col("_n")
+    return df.withColumn("user_mean_hour_30d", F.when(n > 0, S.rnd(F.col("_hours").cast("double") / n, 4)))
+
+
 def previous_event_columns(df: DataFrame) -> DataFrame:
     """Distance and speed from the last event of the same device, else of the customer."""
     last = F.when(S.known_device(F.col("_dev")), F.coalesce("_last_dev", "_last")).otherwise(F.col("_last"))

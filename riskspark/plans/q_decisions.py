@@ -104,7 +104,20 @@ def s_contract(spark, sf_dir):
         "calibrated_probability": F.col("raw"), "velocity_signal": F.lit(0.5),
         "behavioral_signal": F.when(F.col("raw") > 0.9, F.col("raw")).otherwise(0.1),
         "rules_signal": F.lit(1.0), "anomaly_signal": F.col("raw") + F.lit(0.5)})
-    return U.contract_faults(raw).select("transaction_id", F.array_join("violations", ",").alias("violations"))
+    loose = U.contract_faults(raw).select("transaction_id", F.array_join("violations", ",").alias("violations"))
+    passed, rejected = U.split_contract(_sent_signals(spark, sf_dir))
+    routed = passed.select("transaction_id", F.lit("accepted").alias("route"), F.lit("").alias("faults"), F.col("anomaly_signal").alias("anomaly")).unionByName(
+        rejected.select("transaction_id", F.lit("rejected").alias("route"), F.array_join("faults", "|").alias("faults"), F.lit(None).cast("double").alias("anomaly")))
+    return loose.join(routed, "transaction_id")
+
+
+def _sent_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals as a sender might spell them: numbers, words, booleans, some left out."""
+    pairs = ("'calibrated_probability', case when k % 11 = 0 then 'NaN' when k % 7 = 0 then '1.5' when k % 5 = 0 then '-0.25'"
+             " when k % 17 = 0 then 'true' when k % 19 = 0 then 'high' else '0.5' end", "'velocity_signal', '0.5'",
+             "'behavioral_signal', case when k % 23 = 0 then 'Infinity' else ' 0.1 ' end", "'rules_signal', '1'",
+             "'anomaly_signal', case when k % 3 <> 0 then '0.25' end")
+    return transactions(spark, sf_dir).selectExpr("transaction_id", f"map({', '.join(pairs)}) as signals")
 
 
 @register(QUERIES, "fuse_weighted")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskspark.operators import asof as A
 from riskspark.operators import workflow as K
+from riskspark.operators.distsort import global_row_number
 from riskspark.plans.q_sources import _decisions
 from riskspark.plans.query import register
 from riskspark.plans.views import (
@@ -43,9 +44,10 @@ def state_customer_devices(spark, sf_dir):
 
 @register(QUERIES, "state_device_customers")
 def state_device_customers(spark, sf_dir):
-    """The same edges read from the device: how many customers, and its first and last use."""
-    return A.device_edges(transactions(spark, sf_dir)).groupBy("device_id").agg(
-        F.count(F.lit(1)).alias("customers"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    """The same edges read from the device: its customers in order, each with its place among them. A device that
+    very many customers share stays spread over tasks."""
+    edges = A.device_edges(transactions(spark, sf_dir))
+    return global_row_number(edges, [F.col("customer_id")], "place", ["device_id"])
 
 
 def _last_per_customer(spark, sf_dir, squeeze=1):

@@ -5,6 +5,8 @@ import hmac
 
 from pyspark.sql import functions as F
 
+from riskspark.operators import evaluate as E
+from riskspark.operators import fusion as U
 from riskspark.operators import ml as M
 from riskspark.operators import ops as O
 from riskspark.operators import workflow as K
@@ -36,3 +38,21 @@ def test_row_given_hour_and_weekday(spark):
     got = by_id(P.features_32(given))
     assert (got["t0"].hour_of_day, got["t1"].hour_of_day, got["t1"].is_night, got["t1"].is_weekend) == (0, 23, 1, 1)
     assert got["t1"].user_hourly_tx_deviation == 1.0
+
+
+def test_null_labels_are_a_stratum_of_their_own(spark):
+    df = spark.createDataFrame([(f"t{i}", None if i % 3 == 0 else i % 2) for i in range(90)], "transaction_id string, is_fraud int")
+    got = E.split_stratified(df).groupBy("is_fraud", "split").count().collect()
+    assert {(r.is_fraud, r.split): r["count"] for r in got} == {
+        (None, "test"): 6, (None, "train"): 24, (0, "test"): 6, (0, "train"): 24, (1, "test"): 6, (1, "train"): 24}
+
+
+def test_strict_contract_refuses_each_fault(spark):
+    good = dict(calibrated_probability="0.5", velocity_signal="0", behavioral_signal="1", rules_signal=" 0.2 ", anomaly_signal="1e-3")
+    cases = {"ok": good, "bool": good | {"rules_signal": "True"}, "word": good | {"rules_signal": "x"}, "nan": good | {"rules_signal": "NaN"},
+             "inf": good | {"rules_signal": "-Infinity"}, "high": good | {"rules_signal": "1.01"}, "none": {k: v for k, v in good.items() if k != "rules_signal"}}
+    df = spark.createDataFrame(list(cases.items()), "name string, signals map<string,string>")
+    passed, rejected = U.split_contract(df)
+    assert [(r.name, r.rules_signal) for r in passed.collect()] == [("ok", 0.2)]
+    assert {r.name: r.faults for r in rejected.collect()} == {n: [f"rules_signal: {w}"] for n, w in dict(
+        bool="boolean", word="not numeric", nan="not finite", inf="not finite", high="out of range", none="missing").items()}

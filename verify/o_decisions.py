@@ -76,7 +76,13 @@ SQL["s_contract"] = with_(tx_cte(), RAW) + """
 select transaction_id, concat_ws(',',
   case when raw is null or isnan(raw) or raw < 0 or raw > 1 then 'calibrated_probability' end,
   case when raw > 1 then 'behavioral_signal' end,
-  case when raw is null or isnan(raw) or raw + 0.5 < 0 or raw + 0.5 > 1 then 'anomaly_signal' end) as violations from raw"""
+  case when raw is null or isnan(raw) or raw + 0.5 < 0 or raw + 0.5 > 1 then 'anomaly_signal' end) as violations,
+  case when faults = '' then 'accepted' else 'rejected' end as route, faults, case when faults = '' then cast(0.25 as double) end as anomaly
+from raw join (select transaction_id, concat_ws('|',
+    case when k % 11 = 0 then 'calibrated_probability: not finite' when k % 7 = 0 or k % 5 = 0 then 'calibrated_probability: out of range'
+      when k % 17 = 0 then 'calibrated_probability: boolean' when k % 19 = 0 then 'calibrated_probability: not numeric' end,
+    case when k % 23 = 0 then 'behavioral_signal: not finite' end,
+    case when k % 3 = 0 then 'anomaly_signal: missing' end) as faults from tx) using (transaction_id)"""
 
 P4 = "least(9900, 200 + 5000 * is_fraud + k * 40 + cast(floor(least(v, 100) * 10) as int))"
 SIG = f"""sig as (select *, {P4} / {D(10000)} as ml, {VEL} as vel, {BEH} as beh,

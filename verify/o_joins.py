@@ -25,7 +25,7 @@ EDGES = """edges as (select customer_id, device_id, min(us) as first_us, max(us)
   where device_id <> 'unknown_device' group by 1, 2)"""
 SQL["state_customer_devices"] = with_(tx_cte(), EDGES) + "select * from edges"
 SQL["state_device_customers"] = with_(tx_cte(), EDGES) + """
-select device_id, count(*) as customers, min(first_us) as first_us, max(last_us) as last_us from edges group by 1"""
+select *, row_number() over (partition by device_id order by customer_id) as place from edges"""
 LASTP = "lastp as (select customer_id as pc, max(us) as probe_us from tx group by 1)"
 SQL["state_recent_history"] = with_(tx_cte(), LASTP) + """
 select customer_id, probe_us, us, transaction_id, cast(amount as double) as amount from lastp join tx on customer_id = pc
