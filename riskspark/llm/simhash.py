@@ -50,24 +50,28 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of ASCII lower-cased words, repeats included; a shorter text is one shingle."""
+    words = text.lower().split()
+    if len(words) <= shingle:
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else []
+    else:
+        parts = zip(*(words[k:] for k in range(shingle)), strict=False)
+        hashes = [xxhash.xxh64_intdigest(b" ".join(p), 42) for p in parts]
+    return np.array(hashes, ">u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero if there are none."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(h), 65_536):
+        ones += np.unpackbits(h[k:k + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h)).view(">u8")[0])
+
+
 def fingerprints(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     """64-bit fingerprints: ASCII lower case, words between ASCII white space, repeats count."""
-    out = np.zeros(len(texts), np.uint64)
-    for i, text in enumerate(texts):
-        words = text.lower().split()
-        if not words:
-            continue
-        if len(words) <= shingle:
-            hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-        else:
-            parts = zip(*(words[k:] for k in range(shingle)), strict=False)
-            hashes = [xxhash.xxh64_intdigest(b" ".join(p), 42) for p in parts]
-        h = np.array(hashes, ">u8")
-        ones = np.zeros(BITS, np.int64)
-        for k in range(0, len(h), 65_536):
-            ones += np.unpackbits(h[k:k + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(2 * ones > len(h)).view(">u8")[0]
-    return out
+    return np.array([majority(shingle_hashes(text, shingle)) for text in texts], np.uint64)
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fp") -> DataFrame:
