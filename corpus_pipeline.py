@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskspark import session
-from riskspark.llm import decontaminate, pieces, quality, secret_scan, simhash
+from riskspark.llm import decontaminate, pieces, quality, secret_scan, similar
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near copies."""
-    return simhash.keep_one(docs)
+    """The document with the smallest doc_id of every group of near copies (five-word shingles, similarity 0.8)."""
+    return similar.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
