@@ -99,7 +99,7 @@ def _part(columns, finish):
 
 QUERIES["w_behavior_30d"] = _part(["user_avg_amount_30d", "user_std_amount_30d"], W.behavior_columns)
 QUERIES["f_zscore"] = _part(["amount_zscore"], W.behavior_columns)
-QUERIES["w_hour_mean_30d"] = _part(["user_mean_hour_30d"], W.mean_hour)
+QUERIES["w_hour_mean_30d"] = _part(["user_mean_hour_30d", "user_hourly_tx_deviation"], lambda df: W.behavior_columns(W.mean_hour(df)))
 QUERIES["f_hour_deviation"] = _part(["user_hourly_tx_deviation"], W.behavior_columns)
 QUERIES["w_category_share_30d"] = _part(["user_category_frequency"], W.behavior_columns)
 QUERIES["w_prev_event"] = _part(["distance_from_prev_loc_km", "speed_kmh_from_prev_tx"], W.previous_event_columns)
