@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SLICE_BYTES = 4_000_000  # texts that one vectorised step holds at once
@@ -41,13 +42,28 @@ def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[list[bytes]]
         yield texts[start:]
 
 
+def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """``slices`` of a column's UTF-8 texts, one at a time: the column is never held as a list."""
+    raw = column.cast(pa.large_binary())
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(raw), 0).to_pylist()):
+        if size and size + n > most:
+            yield byte_texts(raw[start:i])
+            start, size = i, 0
+        size += n
+    if start < len(raw):
+        yield byte_texts(raw[start:])
+
+
 def text_udf(fn: Callable[[list[bytes]], pa.Array], schema: T.DataType) -> Callable:
-    """A nondeterministic Arrow UDF (so that filters do not run it twice) over slices of texts."""
+    """A nondeterministic Arrow UDF (so that filters do not run it twice) over slices of texts.
+
+    Every slice's result goes out as a batch of its own, so a worker holds one slice and its result."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            parts = [fn(part) for part in slices(byte_texts(column))]
-            yield pa.concat_arrays(parts) if parts else fn([])
+            for part in text_slices(column):
+                yield fn(part)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, schema).asNondeterministic()

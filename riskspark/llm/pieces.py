@@ -193,7 +193,7 @@ def model_path() -> str:
 
 
 def _texts(column: pa.Array) -> Iterator[list[str]]:
-    for part in common.slices(common.byte_texts(column)):
+    for part in common.text_slices(column):
         yield [t.decode() for t in part]
 
 
@@ -201,8 +201,8 @@ def _udf(fn, schema, path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
             for column in batches:
-                parts = [fn(t) for t in _texts(column)]
-                yield pa.concat_arrays(parts) if parts else fn([])
+                for texts in _texts(column):  # ids and spans are larger than the texts: a slice's go out before the next
+                    yield fn(texts)
         finally:  # workers are used again for other stages; they keep the model, not the segments
             load(path).cache = {}
 
