@@ -1,6 +1,8 @@
 """Point-in-time windows.
 
-Light keys use sliding RANGE frames. For busy keys every row arrives at its own time and
+For light keys the window ``[t - N, t)`` is the total before t less the total before t - N: both
+frames only grow, so Spark adds every row once to each (a sliding frame adds up its whole window
+again at every row). For busy keys every row arrives at its own time and
 leaves a window of length N at time + N; the value of the window ``[t - N, t)`` is then the
 running total of arrivals minus departures before t: one linear pass for any number of
 horizons, however long the history is.
@@ -60,8 +62,16 @@ SHORT = {h: n for h, n in HORIZONS.items() if h != "30d"}
 SUMMED = ("5m", "15m", "1h")
 
 
-def _slide(keys: list[str], n: int) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy("us").rangeBetween(-n, -1)
+def _until(keys: list[str], n: int) -> WindowSpec:
+    """The rows that are at least ``n`` older."""
+    return Window.partitionBy(*keys).orderBy("us").rangeBetween(Window.unboundedPreceding, -n)
+
+
+def _slide(total: Column, keys: list[str], n: int) -> Column:
+    """A count or exact sum over ``[us - n, us)``; rows without time see each other."""
+    before = F.coalesce(total.over(_until(keys, 1)), F.lit(0))
+    left = F.coalesce(total.over(_until(keys, n + 1)), F.lit(0))
+    return before - F.when(F.col("us").isNull(), F.lit(0)).otherwise(left)
 
 
 def velocity(tx: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
@@ -82,10 +92,8 @@ def velocity(tx: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
 
 
 def _sliding(scope: str) -> dict[str, Column]:
-    out = {f"tx_count_{h}": F.count(F.lit(1)).over(_slide([scope], n)) for h, n in SHORT.items()}
-    return out | {
-        f"_cents_{h}": F.coalesce(F.sum("_cents").over(_slide([scope], SHORT[h])), F.lit(0))
-        for h in SUMMED}
+    out = {f"tx_count_{h}": _slide(F.count(F.lit(1)), [scope], n) for h, n in SHORT.items()}
+    return out | {f"_cents_{h}": _slide(F.sum("_cents"), [scope], SHORT[h]) for h in SUMMED}
 
 
 def _money(df: DataFrame) -> DataFrame:
@@ -135,21 +143,21 @@ def history_windows(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "custo
 
 
 def _history_light(df: DataFrame, scope: str) -> DataFrame:
-    month = _slide([scope], MONTH)
+    rows = F.count(F.lit(1))
     past = lambda *keys: Window.partitionBy(*keys).orderBy("us").rangeBetween(
         Window.unboundedPreceding, -1)
     known = S.known_device(F.col("_dev")).cast("int")
-    total = lambda c: F.coalesce(F.sum(c).over(month), F.lit(0))
+    total = lambda c: _slide(F.sum(c), [scope], MONTH)
     tie = Window.partitionBy(scope, "_dev", "us").orderBy("transaction_id")
     df = df.withColumn("_known", known).withColumns(_sliding(scope) | {
-        "_n": F.count(F.lit(1)).over(month), "_sum": total("_cents"), "_squares": total(_squares()),
+        "_n": _slide(rows, [scope], MONTH), "_sum": total("_cents"), "_squares": total(_squares()).cast("decimal(35,0)"),
         "_hours": total("_hour"), "_devices": total("_known"),
         "_last": F.max(_event()).over(past(scope)),
     }).drop("_known")
-    df = df.withColumn("_same_cat", F.count(F.lit(1)).over(_slide([scope, "_cat"], MONTH)))
+    df = df.withColumn("_same_cat", _slide(rows, [scope, "_cat"], MONTH))
     df = df.withColumn("_first", F.row_number().over(tie) == 1)
     return df.withColumns({
-        "_same_dev": F.count(F.lit(1)).over(_slide([scope, "_dev"], MONTH)),
+        "_same_dev": _slide(rows, [scope, "_dev"], MONTH),
         "_last_dev": F.max(_event()).over(past(scope, "_dev")),
     })
 
@@ -246,7 +254,7 @@ def new_location(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "customer
     settles the question with a count. Only the rows that open a cell, at most one per cell
     and 30 days apart from ties, look into the neighbouring cells.
     """
-    placed = (
+    placed = cut_lineage(  # read twice below
         tx.where(S.has_place(F.col("latitude"), F.col("longitude")))
         .select("transaction_id", scope, "us", "latitude", "longitude",
                 _cell(F.col("latitude")).alias("_row"), _cell(F.col("longitude")).alias("_col"))
@@ -255,8 +263,9 @@ def new_location(tx: DataFrame, limits: Limits = DEFAULT, scope: str = "customer
         counted = take_census(tx, limits, scope)
 
     def light(df: DataFrame) -> DataFrame:
-        return df.withColumn("_prior", F.count(F.lit(1)).over(_slide([scope], MONTH))).withColumn(
-            "_same", F.count(F.lit(1)).over(_slide([scope, "_row", "_col"], MONTH)))
+        rows = F.count(F.lit(1))
+        return df.withColumn("_prior", _slide(rows, [scope], MONTH)).withColumn(
+            "_same", _slide(rows, [scope, "_row", "_col"], MONTH))
 
     def busy(df: DataFrame) -> DataFrame:
         raw = sweep_points(df, {"30d": MONTH}, ["transaction_id", "latitude", "longitude"])
