@@ -11,7 +11,8 @@ is the rate.
 
 Gathered from all training texts, whole, in one pass: the counts of words and of symbols with their three
 bytes of context, both summed in the task before the shuffle. Code lengths, slots' counts and the rounds of
-the weights are sums over the counted symbols. Slots are bounded (SLOTS) and so is what the driver gets.
+the weights are sums over the counted symbols. Slots are bounded (SLOTS) and so is what the driver gets;
+it reads the slots' counts as packed arrays, one of PARTS at a time.
 
 Base scores need each word's count. Words above one HOT-th of all tokens (at most HOT of them) are looked
 up in a broadcast; the others are joined by word, so no key of the join has more than that share.
@@ -46,6 +47,7 @@ HELD_KEYS = 1_000_000
 CHUNKS = [256, 256, 512, 1024, 2048, 4096]  # then 8,192
 HELD_WORDS = 500_000
 SLICE = 2_000_000
+PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -137,10 +139,13 @@ class Mixer:
 
 def make_mixer(code: Code, counts: np.ndarray) -> Mixer:
     """``counts`` [slot, 2] of zero and one bits; equal starting weights."""
-    total = counts.sum(axis=1)
-    p = (counts[:, 1] + 0.3) / (total + 0.6)
-    logit = np.log(p / (1 - p)).astype(np.float32)
-    known = np.minimum(np.log2(total + 1) / 1.5, 7).astype(np.uint8)
+    logit, known = np.empty(len(counts), np.float32), np.empty(len(counts), np.uint8)
+    for k in range(0, len(counts), 65_536):
+        part = counts[k:k + 65_536]
+        total = part.sum(axis=1)
+        p = (part[:, 1] + 0.3) / (total + 0.6)
+        logit[k:k + 65_536] = np.log(p / (1 - p))
+        known[k:k + 65_536] = np.minimum(np.log2(total + 1) / 1.5, 7)
     return Mixer(code, logit, known, np.full((GATES, ORDERS), 1 / ORDERS, np.float32), counts.astype(np.float32))
 
 
@@ -268,15 +273,20 @@ def _slot_counts(keys: DataFrame, code: Code) -> np.ndarray:
         seen = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(table[seen].astype(np.int64))], names=["s", "n"])
 
-    found = keys.mapInArrow(run, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in _numbers(batch)], names=["s", "n"])
+
+    summed = keys.mapInArrow(run, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).repartition(PARTS, "s")
     table = np.zeros(2 * FIRST[ORDERS])
-    table[found["s"].to_numpy(dtype=np.int64)] = found["n"].to_numpy()
+    for r in summed.mapInArrow(pack, "s binary, n binary").toLocalIterator():  # a part at a time
+        table[np.frombuffer(r.s, np.int32)] = np.frombuffer(r.n, np.int64)
     return table.reshape(-1, 2)
 
 
 def _learn(keys: DataFrame, mixer: Mixer) -> Mixer:
     """The rounds over counted keys; a task gives one small array."""
-    shared = keys.sparkSession.sparkContext.broadcast(mixer)
+    shared = keys.sparkSession.sparkContext.broadcast(replace(mixer, logit=None, known=None))
     for _ in range(ROUNDS):
         def run(batches: Iterator[pa.RecordBatch], weights=mixer.weights) -> Iterator[pa.RecordBatch]:
             now, sums = replace(shared.value, weights=weights), np.zeros((GATES, ORDERS, 1 + ORDERS))
@@ -288,7 +298,7 @@ def _learn(keys: DataFrame, mixer: Mixer) -> Mixer:
         for r in keys.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
             sums.flat[r.i] = r.v
         mixer = step(mixer, sums)
-    shared.unpersist()
+    shared.destroy()
     return replace(mixer, counts=None)
 
 
@@ -310,7 +320,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = facts.n + ends, facts.v + (ends > 0)
     floor = math.log10(tokens + kinds + 1)
-    hot = {r.word.encode(): r.n for r in words.where(F.col("n") * HOT > tokens).collect()}  # at most HOT words
+    found = words.where(F.col("n") * HOT > tokens).select(F.col("word").cast("binary"), "n").toArrow()  # at most HOT words
+    hot = dict(zip(*(c.to_pylist() for c in found.columns), strict=True))
     shared = spark.sparkContext.broadcast((mixer, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

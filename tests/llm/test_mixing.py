@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -119,3 +120,25 @@ def test_model_learns_from_every_byte_of_every_training_text(spark, monkeypatch)
     table = sum(np.bincount(2 * s + bit, np.repeat(n, bits), 2 * mx.FIRST[mx.ORDERS]) for s in slots)
     want = mx.learn_weights(mx.make_mixer(code, table.reshape(-1, 2)), train)
     assert np.array_equal(made[0].logit, want.logit) and np.abs(made[0].weights - want.weights).max() < 1e-3
+
+
+def test_slot_counts_reach_the_driver_in_parts(spark):
+    """Beside the table itself the driver holds one part of the counts, not all of them."""
+    keys = np.arange(257 * 12_000, dtype=np.int64) // 257 * 0x9E3779B1 % (1 << 24) << 9 | np.arange(257 * 12_000) % 257
+    rows = spark.range(257 * 12_000).selectExpr(
+        "shiftleft((id div 257) * 2654435761 % 16777216, 9) + id % 257 key", "id % 3 + 5000000000 n")
+    code = mx.build_code(np.zeros(257, np.int64))
+    tracemalloc.start()
+    got = mx._slot_counts(rows, code)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.zeros(2 * mx.FIRST[mx.ORDERS])
+    for k in range(0, len(keys), 65_536):
+        slots, bit, bits = mx.expand(code, keys[k:k + 65_536])
+        n = np.repeat((np.arange(k, min(k + 65_536, len(keys))) % 3 + 5_000_000_000), bits)
+        for m in range(mx.ORDERS):
+            low, high = 2 * mx.FIRST[m], 2 * mx.FIRST[m + 1]
+            want[low:high] += np.bincount(2 * slots[m] + bit - low, n, high - low)
+    assert (want > 0).mean() > 0.6
+    assert np.array_equal(got.ravel(), want)
+    assert most < 1.6 * got.nbytes
