@@ -10,9 +10,10 @@ what was known before it. The sum of the bits' log-probabilities is the score: t
 is the rate.
 
 Gathered from all training texts, whole, in one pass: the counts of words and of symbols with their three
-bytes of context, both summed in the task before the shuffle. Code lengths, slots' counts and the rounds of
-the weights are sums over the counted symbols. Slots are bounded (SLOTS) and so is what the driver gets;
-it reads the slots' counts as packed arrays, one of PARTS at a time.
+bytes of context, both summed in the task before the shuffle. Texts go through in slices of SLICE
+bytes; words are cut, counted and sent as Arrow arrays, without a Python object for each. Code lengths, slots'
+counts and the rounds of the weights are sums over the counted symbols. Slots are bounded (SLOTS) and so is
+what the driver gets; it reads the slots' counts as packed arrays, one of PARTS at a time.
 
 Base scores need each word's count. Words above one HOT-th of all tokens (at most HOT of them) are looked
 up in a broadcast; the others are joined by word, so no key of the join has more than that share.
@@ -25,7 +26,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -45,8 +45,8 @@ HOT = 400_000
 ROUNDS, RIDGE = 6, 64.0
 HELD_KEYS = 1_000_000
 CHUNKS = [256, 256, 512, 1024, 2048, 4096]  # then 8,192
-HELD_WORDS = 500_000
-SLICE = 2_000_000
+HELD_WORDS = 1_000_000
+SLICE = 500_000
 PARTS = 16
 
 
@@ -83,15 +83,27 @@ def build_code(counts: np.ndarray) -> Code:
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For every symbol its three bytes of context and itself (24 + 9 bits), and the symbols per text."""
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    data = np.frombuffer(b"\0\0\0" + b"\0".join([*texts, b""]), np.uint8).astype(np.int64)
-    ends = np.cumsum(lengths) - 1
-    symbols = data[3:].copy()
-    symbols[ends] = END
-    place = np.arange(len(symbols)) - np.repeat(ends - lengths + 1, lengths)
-    key = np.zeros(len(symbols), np.int64)
-    for k in (3, 2, 1):
-        key = key << 8 | np.where(place >= k, data[3 - k: len(data) - k], 0)
-    return key << 9 | symbols, lengths
+    data = np.frombuffer(b"\0\0\0" + b"\0".join([*texts, b""]), np.uint8)
+    start = np.cumsum(lengths) - lengths
+    key = data[:-3].astype(np.int64)
+    for k, bits in ((1, 8), (2, 8), (3, 9)):
+        key <<= bits
+        key |= data[k:len(data) - 3 + k]
+    for k in range(3):  # nothing of the text before
+        key[start[lengths > k] + k] &= (1 << 8 * k + 9) - 1
+    key[start + lengths - 1] |= END
+    return key, lengths
+
+
+def split_words(texts: list[bytes]) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of all texts in order, and the text of each."""
+    data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    inside = (data != 32) & (data - np.uint8(9) > 4)
+    change = np.flatnonzero(inside[1:] != inside[:-1])
+    edge = np.concatenate([[0], np.cumsum(change[1::2] - change[::2])]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge), pa.py_buffer(data[inside]))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return words, np.searchsorted(ends, change[::2], "right")
 
 
 def expand(code: Code, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +200,8 @@ def score_texts(mixer: Mixer, texts: list[bytes], rate: float = 0.05) -> np.ndar
     encoded = pa.array(keys).dictionary_encode()
     place, distinct = encoded.indices.to_numpy(), encoded.dictionary.to_numpy()
     x, gate, bits = mixer.inputs(distinct)
-    plain = np.einsum("ij,ij->i", x, mixer.weights[gate])
+    plain = np.einsum("ij,ij->i", x, mixer.weights.take(gate, axis=0))
+    orders = x.T.copy()
     first = np.cumsum(bits) - bits
     start = np.cumsum(lengths) - lengths
     own = np.zeros((len(texts), ORDERS), np.float32)  # each text's additive part of the weights
@@ -197,57 +210,75 @@ def score_texts(mixer: Mixer, texts: list[bytes], rate: float = 0.05) -> np.ndar
     live = np.arange(len(texts))
     while len(live):
         size = np.minimum(CHUNKS[step] if step < len(CHUNKS) else 8192, lengths[live] - done[live])
-        owner = np.repeat(np.arange(len(live)), size)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        gram = place[(start[live] + done[live])[owner] + nth]
-        n = bits[gram]
-        edge = np.cumsum(n) - n
-        at = np.arange(edge[-1] + n[-1]) + np.repeat(first[gram] - edge, n)
-        seen = x[at]
+        symbol = np.repeat(start[live] + done[live] - (np.cumsum(size) - size), size)
+        symbol += np.arange(len(symbol))
+        gram = place.take(symbol)
+        n, begin = bits.take(gram), first.take(gram)
+        at = np.ones(n.sum(), np.int64)  # a symbol's bits follow each other
+        at[0] = begin[0]
+        at[np.cumsum(n[:-1])] += begin[1:] - begin[:-1] - n[:-1]
+        np.cumsum(at, out=at)
+        seen = [v.take(at) for v in orders]
+        z = plain.take(at)
         parts = np.add.reduceat(n, np.cumsum(size) - size)  # bits of each text's chunk
-        z = plain[at] + np.einsum("ij,ij->i", seen, np.repeat(own[live], parts, axis=0))
-        odds = np.exp(-np.clip(z, -30, 30))
-        begin = np.cumsum(parts) - parts
-        total[live] -= np.add.reduceat(np.log1p(odds), begin, dtype=np.float64)
-        seen *= (odds / (1 + odds))[:, None]
-        own[live] += rate * np.add.reduceat(seen, begin, axis=0) / np.sqrt(parts)[:, None] / (1 + 0.25 * step)
+        end = np.cumsum(parts)
+        if step:  # no text has a part of its own before
+            for i, j, weights in zip((end - parts).tolist(), end.tolist(), own[live], strict=True):
+                a, b, c, d = (v[i:j] * w for v, w in zip(seen, weights, strict=True))
+                z[i:j] += (a + b) + (c + d)
+        np.clip(z, -30, 30, out=z)
+        odds = np.exp(np.negative(z, out=z), out=z)
+        total[live] -= np.add.reduceat(np.log1p(odds), end - parts, dtype=np.float64)
+        odds /= 1 + odds
+        grad = np.stack([np.add.reduceat(np.multiply(v, odds, out=v), end - parts) for v in seen], axis=1)
+        own[live] += rate * grad / np.sqrt(parts)[:, None] / (1 + 0.25 * step)
         done[live] += size
         live = live[done[live] < lengths[live]]
         step += 1
     return total / math.log(10)
 
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, where = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(where, n, len(distinct)).astype(np.int64)
+def _summed(counted: list[pa.StructArray]) -> pa.RecordBatch:
+    """Counts (values, counts) of several slices as one; a value comes once."""
+    held = pa.Table.from_batches([pa.RecordBatch.from_struct_array(c) for c in counted]).group_by("values", use_threads=False)
+    return held.aggregate([("counts", "sum")]).rename_columns(["values", "counts"]).combine_chunks().to_batches()[0]
+
+
+class _Held:
+    """Counts of the slices so far; what they come to once they are many."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.counted = most, []
+
+    def add(self, counted: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        self.counted.append(counted)
+        if sum(map(len, self.counted)) > self.most:
+            whole = _summed(self.counted)
+            self.counted = [whole.to_struct_array()]
+            if 2 * len(whole) > self.most:
+                self.counted = []
+                yield whole
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if sum(map(len, self.counted)):
+            yield _summed(self.counted)
 
 
 def _counts(docs: DataFrame) -> DataFrame:
     """(word, key, n) over all texts: words (no key), and symbols with their context as keys (no word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = Counter(), []
-        pack = lambda w, k, n: pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["word", "key", "n"])
-        pack_words = lambda c: pack(list(c), [None] * len(c), list(c.values()))
-        pack_keys = lambda k, n: pack([None] * len(k), k, n)
+        words, keys = _Held(HELD_WORDS), _Held(HELD_KEYS)
+        pack = lambda w, k, n: pa.RecordBatch.from_arrays([w, k, n], names=["word", "key", "n"])
+        pack_words = lambda b: pack(b[0], pa.nulls(len(b), pa.int64()), b[1])
+        pack_keys = lambda b: pack(pa.nulls(len(b), pa.string()), b[0], b[1])
         for batch in batches:
             for part in common.slices(common.byte_texts(batch.column(0)), SLICE):
                 part = [t.lower() for t in part]
-                for t in part:
-                    words.update(t.split())
-                found = pa.array(grams(part)[0]).value_counts()
-                held.append([found.field(k).to_numpy(zero_copy_only=False) for k in range(2)])
-                if sum(len(k) for k, _ in held) > HELD_KEYS:
-                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                    if 2 * len(held[0][0]) > HELD_KEYS:
-                        yield pack_keys(*held[0])
-                        held = []
-                if len(words) > HELD_WORDS:
-                    yield pack_words(words)
-                    words = Counter()
-        yield pack_words(words)
-        if held:
-            yield pack_keys(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+                yield from map(pack_words, words.add(split_words(part)[0].value_counts()))
+                yield from map(pack_keys, keys.add(pa.array(grams(part)[0]).value_counts()))
+        yield from map(pack_words, words.rest())
+        yield from map(pack_keys, keys.rest())
 
     return docs.select("text").mapInArrow(run, "word string, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
 
@@ -332,30 +363,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             ids, at = batch.column(0).to_pylist(), 0
             for part in common.slices(common.byte_texts(batch.column(1)), SLICE):
                 part = [t.lower() for t in part]
-                scores = score_texts(mixer, part)
-                out = []
-                rid, word, times = [], [], []
-                for t, key, s in zip(part, ids[at:at + len(part)], scores.tolist(), strict=True):
-                    held_words, base, known, n = Counter(t.split()), last, int(ends > 0), 1
-                    before = len(rid)
-                    for w, k in held_words.items():
-                        n += k
-                        value = logs.get(w)
-                        if value is None:
-                            word.append(w)
-                            times.append(k)
-                        else:
-                            base += k * value
-                            known += k
-                    rid += [key] * (len(word) - before)
-                    out.append((key, b" %d" % key, 0, base, known, n, s, len(t)))
+                rid = np.array(ids[at:at + len(part)], np.int64)
                 at += len(part)
-                head = list(zip(*out, strict=True))
-                none = [None] * len(rid)
-                cols = [(rid, pa.int64()), (word, pa.string()), (times, pa.int64()), (none, pa.float64()), (none, pa.int64()),
-                        (none, pa.int64()), (none, pa.float64()), (none, pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array([*head[i], *c], kind) for i, (c, kind) in enumerate(cols)],
-                                                 names=["rid", "word", "times", "base", "known", "n_tokens", "score", "n_bytes"])
+                words, owner = split_words(part)
+                words = words.dictionary_encode()
+                kinds = words.dictionary
+                value = np.array([logs.get(w, math.nan) for w in kinds.cast(pa.binary()).to_pylist()])
+                pairs = pa.array(owner * max(len(kinds), 1) + words.indices.to_numpy()).value_counts()
+                times = pairs.field("counts").to_numpy()
+                owner, word = np.divmod(pairs.field("values").to_numpy(), max(len(kinds), 1))
+                value = value[word]
+                cold = np.isnan(value)
+                total = lambda v: np.bincount(owner, v, len(part))
+                cols = {
+                    "base": last + total(np.where(cold, 0, times * value)),
+                    "known": int(ends > 0) + total(np.where(cold, 0, times)).astype(np.int64),
+                    "n_tokens": 1 + total(times).astype(np.int64),
+                    "score": score_texts(mixer, part),
+                    "n_bytes": np.array([len(t) for t in part], np.int64)}
+                joined = {
+                    "rid": pa.array(np.concatenate([rid, rid[owner[cold]]])),
+                    "word": pa.concat_arrays([pa.array([f" {r}" for r in rid.tolist()], pa.string()), kinds.take(pa.array(word[cold]))]),
+                    "times": pa.array(np.concatenate([np.zeros(len(part), np.int64), times[cold]]))}
+                empty = lambda v: pa.nulls(int(cold.sum()), v.type)
+                cols = joined | {k: pa.concat_arrays([v, empty(v)]) for k, v in ((k, pa.array(v)) for k, v in cols.items())}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     keyed = docs.withColumn("rid", F.monotonically_increasing_id())
     spread = keyed.select("rid", "text").mapInArrow(run, "rid long, word string, times long, base double, known long, n_tokens long, score double, n_bytes long")
