@@ -64,3 +64,11 @@ def test_a_benchmark_has_five_models_of_whole_size():
     assert list(models) == ["logistic", "forest", "boosted", "leafwise", "symmetric"]
     assert (models["forest"].getStages()[0].getNumTrees(), models["forest"].getStages()[0].getMaxDepth()) == (100, 10)
     assert [models[m].rounds for m in ("boosted", "leafwise", "symmetric")] == [150, 150, 250]
+
+
+def test_tuning_fits_whole_ensembles_over_the_space(spark, frame, monkeypatch):
+    monkeypatch.setattr(Q, "modelling", lambda *a: (frame[0],) * 3)
+    asked = {}
+    monkeypatch.setattr(Q.M, "tune", lambda train, val, grid, build: asked.update(n=np.prod([len(v) for v in grid.values()]), rounds=build(**{k: v[0] for k, v in grid.items()}).rounds))
+    Q.tune_grid(spark, "")
+    assert asked["n"] >= 35 and asked["rounds"] == 250
